@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,23 @@ def local_session(cpus: int = 8, shuffle: int = 8, memory: str = "12g") -> Spark
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that kernels can be imported there."""
+    context = spark.sparkContext
+    if getattr(context, "_rawloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="rawloom-")) / "rawloom.zip"
+    with zipfile.ZipFile(to, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(to))
+    context._rawloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's own readers touch the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
