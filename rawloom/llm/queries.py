@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawloom.llm import compression, language, media, pieces, simhash, toxicity
+from rawloom.llm import compression, language, lines, media, pieces, simhash, toxicity
 from rawloom.llm.learning import remainder
 from rawloom.session import table
 
@@ -77,3 +77,10 @@ def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held, language.fit(docs, ~held))
     scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= PREDICTED).cast("int").alias("predicted"))
+
+
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that occur earlier in the corpus."""
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", "text")
