@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawloom.llm import compression, language, lines, media, pieces, simhash, toxicity
+from rawloom.llm import compression, language, lines, media, pieces, simhash, templates, toxicity
 from rawloom.llm.learning import remainder
 from rawloom.session import table
 
@@ -84,3 +84,9 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that occur earlier in the corpus."""
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, re-parameterised ones included."""
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
