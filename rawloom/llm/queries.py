@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawloom.llm import compression, language, lines, media, pieces, simhash, templates, toxicity
+from rawloom.llm import chat, compression, language, licenses, lines, media, pieces, simhash, templates, toxicity
 from rawloom.llm.learning import remainder
 from rawloom.session import table
 
@@ -90,3 +90,15 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, re-parameterised ones included."""
     return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, turn by turn, with the rendering."""
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
