@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rawloom.functions import codec, columns, samples, tiff
+from rawloom.operators import compare, imaging, residuals
+from rawloom.plans import pipelines
 from rawloom.session import table
+from rawloom.sources import frames
+from rawloom.sources.coverage import CAMERAS, cameras
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,15 +45,452 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESIDUAL_SQL = f"""with g as ({GRID_SQL}),
 n as (select y, x, s, lag(s) over (partition by y order by x) l, lag(s) over (partition by x order by y) u from g),
-r as (select y, x, ((s - coalesce(l, u, 2048) + 32768) & 65535) - 32768 d from n)"""
+d as (select y, x, ((s - coalesce(l, u, 2048) + 32768) & 65535) - 32768 d from n),
+r as (select y, x, d, case when d = 0 then 0 else length(bin(abs(d))) end cat from d)"""
 
 
-@query(f"""{RESIDUAL_SQL}
-select case when d = 0 then 0 else length(bin(abs(d))) end cat, count(*) n, sum(d) sd from r group by 1""")
+@query(f"{RESIDUAL_SQL} select cat, count(*) n, sum(d) sd from r group by 1")
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = grid(spark, sf_dir)
-    left = F.lag("s").over(Window.partitionBy("y").orderBy("x"))
-    above = F.lag("s").over(Window.partitionBy("x").orderBy("y"))
-    d = (F.col("s") - F.coalesce(left, above, F.lit(2048)) + 32768).bitwiseAND(F.lit(65535)) - 32768
-    cat = F.when(F.col("d") == 0, 0).otherwise(F.length(F.bin(F.abs("d"))))
-    return cells.select(d.alias("d")).groupBy(cat.alias("cat")).agg(F.count("*").alias("n"), F.sum("d").cast("bigint").alias("sd"))
+    return residuals.histogram(residuals.residuals(grid(spark, sf_dir), 12))
+
+
+@query(f"{RESIDUAL_SQL} select y, x, d, cat from r")
+def residual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residuals.residuals(grid(spark, sf_dir), 12).select("y", "x", "d", "cat")
+
+
+@query(f"select y, x, s from ({GRID_SQL})")
+def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples again, from nothing but the residuals."""
+    found = residuals.residuals(grid(spark, sf_dir), 12).select("y", "x", "d")
+    return residuals.reconstructed(found, 12).select("y", "x", "s")
+
+
+@query(f"""{RESIDUAL_SQL} select cat, cast(sum(case when d >= 0 then d else d + (1 << cat) - 1 end) as bigint) bits_sum,
+max(case when d >= 0 then d else d + (1 << cat) - 1 end) bits_max from r group by 1""")
+def entropy_value_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = residuals.residuals(grid(spark, sf_dir), 12)
+    return found.groupBy("cat").agg(F.sum("bits").cast("bigint").alias("bits_sum"), F.max("bits").alias("bits_max"))
+
+
+#: Code lengths of a table: (symbol, length).
+LENGTHS = ((0, 3), (1, 3), (2, 3), (3, 3), (4, 3), (5, 4), (6, 4), (7, 5), (8, 5), (9, 6), (10, 6), (11, 7), (12, 8))
+LENGTHS_SQL = "(values " + ", ".join(map(str, LENGTHS)) + ") t(symbol, len)"
+
+
+def lengths(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(LENGTHS), "symbol int, len int")
+
+
+CODES_SQL = f"""select symbol, len, cast(coalesce(sum(1 << (16 - len)) over (order by len, symbol rows between unbounded preceding and 1 preceding), 0) // (1 << (16 - len)) as bigint) code
+from {LENGTHS_SQL}"""
+
+
+@query(CODES_SQL)
+def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residuals.canonical_codes(lengths(spark)).select("symbol", "len", "code")
+
+
+@query(f"""{RESIDUAL_SQL}, h as (select cat, count(*) n from r group by 1)
+select cast(sum(n * (len + case when cat < 16 then cat else 0 end)) as bigint) bits from h join {LENGTHS_SQL} on cat = symbol""")
+def coded_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the coded grid under the literal table."""
+    return residuals.coded_bits(residual_histogram(spark, sf_dir), lengths(spark))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: name, size in bytes, and another size that stands for the compressed one."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return docs.select("doc_id", "source", "text", size.alias("input_bytes"), (size - F.floor(size * (F.col("doc_id") % 7) / 10)).cast("bigint").alias("output_bytes"))
+
+
+FILES_SQL = """files as (select doc_id, source, text, i input_bytes, cast(i - floor(i * (doc_id % 7) / 10) as bigint) output_bytes
+from (select *, coalesce(octet_length(encode(text)), 0) i from documents))"""
+
+
+@query(f"""with {FILES_SQL} select count(*) frames, cast(sum(input_bytes) as bigint) input_bytes, cast(sum(output_bytes) as bigint) output_bytes,
+round(sum(output_bytes) / sum(input_bytes), 9) ratio from files""")
+def frame_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.summary(files(spark, sf_dir)).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(f"""with {FILES_SQL} select doc_id, round(case when input_bytes = 0 then 0 else output_bytes / input_bytes end, 9) ratio,
+round(case when input_bytes = 0 then 0 else 1 - output_bytes / input_bytes end, 9) saved from files""")
+def frame_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("output_bytes"), F.col("input_bytes")
+    return files(spark, sf_dir).select("doc_id", F.round(columns.ratio(a, b), 9).alias("ratio"), F.round(columns.saved(a, b), 9).alias("saved"))
+
+
+TAGS_SQL = """tags as (select user_id path, cast(event_id % 37 + 240 as bigint) tag, max(event_type) v from events group by 1, 2),
+a as (select path, tag, v from tags where tag % 11 <> 3),
+b as (select path, case when tag % 10 = 7 then tag + 1000 else tag end tag, case when tag % 5 = 0 then v || 'x' else v end v from tags where tag % 13 <> 5)"""
+
+
+def tag_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of a tag table that stands for events: some tags removed, some added, some changed."""
+    tags = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("path"), (F.col("event_id") % 37 + 240).alias("tag")).agg(F.max("event_type").alias("v"))
+    value = F.when(F.col("tag") % 5 == 0, F.concat("v", F.lit("x"))).otherwise(F.col("v"))
+    tag = F.when(F.col("tag") % 10 == 7, F.col("tag") + 1000).otherwise(F.col("tag"))
+    return tags.where("tag % 11 <> 3"), tags.where("tag % 13 <> 5").select("path", tag.alias("tag"), value.alias("v"))
+
+
+@query(f"""with {TAGS_SQL} select * from (select coalesce(a.path, b.path) path, coalesce(a.tag, b.tag) tag,
+case when a.path is null then 'Added' when b.path is null then 'Removed' when a.v is distinct from b.v then 'Changed' end kind
+from a full outer join b on a.path = b.path and a.tag = b.tag) where kind is not null and tag not in (259, 41449)""")
+def tag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = tag_tables(spark, sf_dir)
+    return compare.tag_diff(a, b, ["path"], "v")
+
+
+@query(f"""with {TAGS_SQL}, c as (select path, tag, v || '!' v from a where tag % 4 = 0)
+select a.path, a.tag, coalesce(c.v, a.v) v from a left join c on a.path = c.path and a.tag = c.tag where a.tag <> 256""")
+def tag_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replace the values of some tags, remove one."""
+    a, _ = tag_tables(spark, sf_dir)
+    changes = a.where("tag % 4 = 0").withColumn("v", F.concat("v", F.lit("!")))
+    return compare.upsert(a, changes, ["path", "tag"]).where("tag <> 256").select("path", "tag", "v")
+
+
+@query("""with n as (select user_id path, cast(event_id % 3 as int) parent_id, case when event_id % 2 = 0 then 'sub' else 'pointer' end edge, cast(event_id % 5 as int) ordinal, max(event_id % 4) p from events group by all),
+a as (select * from n where ordinal <> 4 or path % 2 = 0), b as (select path, parent_id, edge, ordinal, case when path % 9 = 0 then p + 1 else p end p from n where ordinal <> 2 or path % 3 = 0)
+select * from (select coalesce(a.path, b.path) path, coalesce(a.parent_id, b.parent_id) parent_id, coalesce(a.edge, b.edge) edge, coalesce(a.ordinal, b.ordinal) ordinal,
+case when a.path is null then 'Added' when b.path is null then 'Removed' when a.p is distinct from b.p then 'Changed' end kind
+from a full outer join b on a.path = b.path and a.parent_id = b.parent_id and a.edge = b.edge and a.ordinal = b.ordinal) where kind is not null""")
+def tree_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    keys = [F.col("user_id").alias("path"), (e % 3).cast("int").alias("parent_id"), F.when(e % 2 == 0, "sub").otherwise("pointer").alias("edge"), (e % 5).cast("int").alias("ordinal")]
+    nodes = table(spark, sf_dir, "events").groupBy(*keys).agg(F.max(e % 4).alias("pointer_tag"))
+    other = F.when(F.col("path") % 9 == 0, F.col("pointer_tag") + 1).otherwise(F.col("pointer_tag"))
+    return compare.tree_diff(nodes.where("ordinal <> 4 or path % 2 = 0"), nodes.where("ordinal <> 2 or path % 3 = 0").withColumn("pointer_tag", other))
+
+
+@query("""select event_id, tag from (select event_id, cast(case when event_id % 3 = 0 then 41449 else 256 + event_id % 5 end as bigint) tag,
+case when event_id % 2 = 0 then 4 else 3 end type_code, case when event_id % 5 = 0 then 42 else 1095520328 end v from events)
+where tag = 41449 and not (type_code = 4 and v = 1095520328)""")
+def marker_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        e, F.when(e % 3 == 0, F.lit(41449).cast("bigint")).otherwise(256 + e % 5).alias("tag"), F.when(e % 2 == 0, 4).otherwise(3).alias("type_code"),
+        F.array(F.when(e % 5 == 0, F.lit(42)).otherwise(F.lit(1095520328)).cast("bigint")).alias("ints"),
+    )
+    return compare.foreign_markers(rows).select("event_id", "tag")
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents copied to two destinations, some of them damaged or unreadable."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    found = docs.select(F.col("doc_id").alias("source"), F.octet_length("text").cast("bigint").alias("size"), "text", F.explode(F.array(F.lit("d1"), F.lit("d2"))).alias("destination"))
+    damaged = (F.col("source") % 17 == 0) & (F.col("destination") == "d2")
+    again = F.when(damaged, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    status = F.when(F.sha2("text", 256) == F.sha2(again, 256), "Verified").otherwise("ChecksumMismatch")
+    return found.select("source", "size", "destination", status.alias("status"), F.when(F.col("source") % 101 == 5, "unreadable").alias("error"))
+
+
+COPIES_SQL = """copies as (select doc_id source, octet_length(encode(text)) size, d destination,
+case when sha256(text) = sha256(case when doc_id % 17 = 0 and d = 'd2' then text || '?' else text end) then 'Verified' else 'ChecksumMismatch' end status,
+case when doc_id % 101 = 5 then 'unreadable' end error from documents, (values ('d1'), ('d2')) t(d) where text is not null),
+outcomes as (select source, max(size) size, max(error) error, count(destination) destinations, count(*) filter (status = 'Verified') verified from copies group by 1),
+judged as (select *, error is null and destinations > 0 and destinations = verified ok from outcomes)"""
+
+
+@query(f"with {COPIES_SQL} select * from judged")
+def offload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.file_outcomes(copies(spark, sf_dir))
+
+
+@query(f"""with {COPIES_SQL} select count(*) files, count(*) filter (ok) verified, count(*) - count(*) filter (ok) failed,
+cast(sum(size) as bigint) total_bytes, coalesce(bool_and(ok), true) all_verified from judged""")
+def offload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.offload_totals(compare.file_outcomes(copies(spark, sf_dir)))
+
+
+@query("select doc_id, sha256(text) checksum from documents")
+def checksum_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
+
+
+@query()
+def checksum_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLAKE3 of every document; SQL has no such function, the tests hold it against published vectors."""
+    columns.register(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", F.call_function("raw_blake3", F.col("text").cast("binary")).alias("checksum"))
+
+
+@query("""select label, vec_id, area from (select label, vec_id, a area, row_number() over (partition by label order by a desc, vec_id) r
+from (select *, cast(floor(abs(embedding[1]) * 40) * floor(abs(embedding[2]) * 40) as bigint) a from embeddings) where a > 0) where r = 1""")
+def largest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda k: F.floor(F.abs(F.get("embedding", F.lit(k))) * F.lit(40.0).cast("float"))
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", (side(0) * side(1)).cast("bigint").alias("area"))
+    return compare.top_one(rows, ["label"], F.col("area"), "vec_id").select("label", "vec_id", "area")
+
+
+@query(f"""with g as (select y, x, s, case when y % 2 = 0 and x % 2 = 0 then 0 when y % 2 = 1 and x % 2 = 1 then 2 else 1 end c from ({GRID_SQL})),
+o as (select dy, dx from range(-1, 2) a(dy), range(-1, 2) b(dx))
+select p.y, p.x, round(coalesce(avg(q.s) filter (q.c = 0), 0), 6) r, round(coalesce(avg(q.s) filter (q.c = 1), 0), 6) g, round(coalesce(avg(q.s) filter (q.c = 2), 0), 6) b
+from (select g.y, g.x, g.y + dy ny, g.x + dx nx from g, o) p join g q on q.y = p.ny and q.x = p.nx group by 1, 2""")
+def demosaic_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = imaging.demosaic(grid(spark, sf_dir))
+    return made.select("y", "x", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+@query(f"""select y, x, round(greatest(0, least(1, (s - (128 + 16 * (y % 2 * 2 + x % 2))) / greatest(3800.0 - (128 + 16 * (y % 2 * 2 + x % 2)), 1.0))), 9) v from ({GRID_SQL})""")
+def normalise_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.col("y") % 2 * 2 + F.col("x") % 2
+    return grid(spark, sf_dir).select("y", "x", F.round(columns.normalised("s", 128 + 16 * place, F.lit(3800)), 9).alias("v"))
+
+
+def _transfer_sql(g: str) -> str:
+    return f"""select event_id, cast(least(255, greatest(0, floor(({g}) * 255.0 + 0.5))) as int) level
+from (select event_id, greatest(0.0, least(1.0, cast(value as double) / 100.0)) c from events)"""
+
+
+@query(_transfer_sql("case when c <= 0.0031308 then 12.92 * c else 1.055 * pow(c, 1.0 / 2.4) - 0.055 end"))
+def transfer_srgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", columns.transfer(F.col("value") / 100.0).alias("level"))
+
+
+@query(_transfer_sql("case when c < 0.018 then 4.5 * c else 1.099 * pow(c, 0.45) - 0.099 end"))
+def transfer_rec709(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", columns.transfer(F.col("value") / 100.0, "rec709").alias("level"))
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"m{k}") for k in range(12)])
+
+
+_M = ", ".join(f"cast(embedding[{k + 1}] as double) m{k}" for k in range(12))
+_XYZ = [x for row in columns.XYZ_TO_SRGB for x in row]
+
+
+@query("select vec_id, " + ", ".join(f"round(({_XYZ[3 * i]}::double) * m0 + ({_XYZ[3 * i + 1]}::double) * m1 + ({_XYZ[3 * i + 2]}::double) * m2, 6) v{i}" for i in range(3)) + f" from (select vec_id, {_M} from embeddings)")
+def colour_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = columns.apply3([F.lit(x) for x in _XYZ], [F.col(f"m{k}") for k in range(3)])
+    return matrix(spark, sf_dir).select("vec_id", *[F.round(v, 6).alias(f"v{i}") for i, v in enumerate(found)])
+
+
+@query(f"""select vec_id, round(det, 6) det, case when abs(det) >= 1e-9 then cast(round(det * ((m4 * m8 - m5 * m7) / det), 6) as double) end a0,
+case when abs(det) >= 1e-9 then cast(round(det * ((m0 * m4 - m1 * m3) / det), 6) as double) end a8
+from (select *, m0 * (m4 * m8 - m5 * m7) - m1 * (m3 * m8 - m5 * m6) + m2 * (m3 * m7 - m4 * m6) det from (select vec_id, {_M} from embeddings))""")
+def invert_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Determinants and two entries of the inverses, times the determinant so that rounding is even."""
+    det, inverse = columns.invert3([F.col(f"m{k}") for k in range(9)])
+    return matrix(spark, sf_dir).select("vec_id", F.round(det, 6).alias("det"), F.round(det * inverse[0], 6).alias("a0"), F.round(det * inverse[8], 6).alias("a8"))
+
+
+@query("""select p_partkey, cast(strip as int) strip, strip * rps first_row, least(rps, height - strip * rps) rows_in
+from (select p_partkey, p_size * 37 height, cast(p_partkey % 11 + 1 as bigint) rps, unnest(range(0, greatest(cast(ceil(p_size * 37 / (p_partkey % 11 + 1)) as bigint), 1))) strip from part) where strip * rps < height""")
+def strip_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37).cast("bigint").alias("height"), (F.col("p_partkey") % 11 + 1).alias("rows_per_strip"))
+    return imaging.strips(images).select("p_partkey", "strip", "first_row", F.col("rows").alias("rows_in"))
+
+
+@query("""select l_orderkey, l_linenumber, n, cast(8 + coalesce(sum(n + n % 2) over (partition by l_orderkey order by l_linenumber rows between unbounded preceding and 1 preceding), 0) as bigint) "offset"
+from (select l_orderkey, l_linenumber, cast(sum(l_quantity) as bigint) n from lineitem group by 1, 2)""")
+def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("bigint").alias("n"))
+    return imaging.running_offsets(pieces, ["l_orderkey"], ["l_linenumber"], "n").select("l_orderkey", "l_linenumber", "n", "offset")
+
+
+@query("""select l_orderkey, string_agg(chr(cast(65 + n % 26 as int)), '' order by l_linenumber) joined
+from (select l_orderkey, l_linenumber, cast(sum(l_quantity) as bigint) n from lineitem group by 1, 2) group by 1""")
+def joined_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of each order, one byte each, in order."""
+    pieces = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("seg_index")).agg(F.sum("l_quantity").cast("bigint").alias("n"))
+    bytes_of = pieces.select("l_orderkey", "seg_index", F.chr(65 + F.col("n") % 26).cast("binary").alias("bytes"))
+    return imaging.joined_segments(bytes_of, ["l_orderkey"]).select("l_orderkey", F.col("bytes").cast("string").alias("joined"))
+
+
+@query("select p_partkey, cast(p_partkey * 7 % 4096 as int) a, cast(p_size * 81 % 4096 as int) b, printf('%03X', p_partkey * 7 % 4096) || printf('%03X', p_size * 81 % 4096) packed from part")
+def pack12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two 12-bit samples in three bytes, and the samples read back from them."""
+    a, b = F.col("p_partkey") * 7 % 4096, F.col("p_size") * 81 % 4096
+    packed = table(spark, sf_dir, "part").select("p_partkey", columns.pack12(a, b).alias("packed"))
+    first, second = columns.unpack12(F.unhex("packed"), F.lit(0))
+    return packed.select("p_partkey", first.cast("int").alias("a"), second.cast("int").alias("b"), "packed")
+
+
+@query("select p_partkey, substr(h, 3, 2) || substr(h, 1, 2) swapped, printf('%02X', (p_partkey * 31) % 256) || printf('%02X', (p_partkey * 31) // 256 % 256) little from (select p_partkey, printf('%04X', p_partkey * 31 % 65536) h from part)")
+def endian_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = F.unhex(F.lpad(F.hex(F.col("p_partkey") * 31 % 65536), 4, "0"))
+    swapped = F.hex(columns.swap16(big))
+    return table(spark, sf_dir, "part").select("p_partkey", swapped.alias("swapped"), F.hex(F.substring(columns.swap32(F.concat(F.unhex(F.lit("0000")), big)), 1, 2)).alias("little"))
+
+
+GUARD_ROWS = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint) q from lineitem"""
+
+
+@query(f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, q, case when q % 13 = 0 then 'skip' when q % 11 = 5 then 'skip' when q % 7 = 3 then 'UnsupportedPlanarConfig'
+when l_partkey % 17 = 0 then 'MissingTag' when l_partkey % 5 = 1 then 'InconsistentBitDepth' when l_partkey % 3 = 2 then 'UnsupportedBitDepth'
+when l_suppkey % 4 = 3 then 'InconsistentBitDepth' when l_orderkey % 19 = 0 then 'MissingTag' when l_orderkey % 23 = 0 then 'DimensionTooLarge' end code from ({GUARD_ROWS})""")
+def guard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered checks before an image is compressed, over made-up tags."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c("l_quantity").cast("bigint").alias("q"))
+    bits = F.when(c("l_partkey") % 17 != 0, F.array(F.when(c("l_partkey") % 3 == 2, 11).otherwise(12), F.when(c("l_partkey") % 5 == 1, 9).when(c("l_partkey") % 3 == 2, 11).otherwise(12)))
+    code = columns.guard(
+        c("q") % 13 != 0, F.when(c("q") % 11 == 5, 7).when(c("q") % 11 == 6, 1), F.when(c("q") % 7 == 3, 2), bits,
+        F.when(c("l_suppkey") % 4 == 3, 3).otherwise(2), F.when(c("l_orderkey") % 19 != 0, 640), F.when(c("l_orderkey") % 23 == 0, 70000).otherwise(480),
+    )
+    return rows.withColumn("code", code)
+
+
+@query(f"""with {FILES_SQL}, v as (select doc_id, input_bytes * (1 + doc_id % 5 * 1000) n from files)
+select doc_id, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f KiB', round_even(n / 1024.0, 1)) when n < 1073741824 then printf('%.1f MiB', round_even(n / 1048576.0, 1)) else printf('%.1f GiB', round_even(n / 1073741824.0, 1)) end shown from v""")
+def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("input_bytes") * (1 + F.col("doc_id") % 5 * 1000)
+    return files(spark, sf_dir).select("doc_id", columns.human_bytes(n).alias("shown"))
+
+
+@query("""select k, case when n < 1000 then n || ' B' when n < 10000 then printf('%.2f kB', floor(n / 10.0 + 0.5) / 100) when n < 100000 then printf('%.1f kB', floor(n / 100.0 + 0.5) / 10) when n < 1000000 then printf('%.0f kB', floor(n / 1000.0 + 0.5)) else printf('%.2f MB', floor(n / 10000.0 + 0.5) / 100) end shown
+from (select p_partkey k, cast(p_partkey * 997 % 2000003 as bigint) n from part)""")
+def si_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey") * 997 % 2000003
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), columns.si_bytes(n).alias("shown"))
+
+
+@query("select doc_id, left(sha256(text), 10) || '…' || right(sha256(text), 10) short, format('{:,}', n_chars) shown from documents")
+def short_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", columns.short_hex(F.sha2("text", 256), 10).alias("short"), columns.format_count("n_chars").alias("shown"))
+
+
+NAMES_SQL = "names as (select page_id, case when page_id % 3 = 0 then url || '.DNG' when page_id % 3 = 1 then url || '.tif' else url || '.dng' end name, page_id % 4 <> 1 is_tiff from pages)"
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages as file names."""
+    end = F.when(F.col("page_id") % 3 == 0, ".DNG").when(F.col("page_id") % 3 == 1, ".tif").otherwise(".dng")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("url", end).alias("name"), (F.col("page_id") % 4 != 1).alias("is_tiff"))
+
+
+@query(f"with {NAMES_SQL} select page_id, case when not is_tiff then 'Unknown' when lower(name) like '%.dng' then 'DNG' else 'TIFF' end format, regexp_replace(name, '\\.dng$', '', 'i') || '.packed.dng' download from names")
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names(spark, sf_dir).select("page_id", columns.detect_format("name", F.col("is_tiff")).alias("format"), columns.download_name("name").alias("download"))
+
+
+@query(f"with {NAMES_SQL} select page_id, name from names where lower(name) like '%.dng'")
+def frame_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names(spark, sf_dir).where(columns.is_frame_name("name")).select("page_id", "name")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber % 4 = 0 then 0.0 else round(l_partkey / (l_linenumber % 4), 6) end v from lineitem""")
+def rational_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = F.array(F.struct(F.col("l_partkey").alias("n"), (F.col("l_linenumber") % 4).cast("bigint").alias("d")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.get(columns.rational_numbers(pair), F.lit(0)), 6).alias("v"))
+
+
+@query("""select p_partkey, case p_size % 4 when 0 then 0 when 1 then p_partkey when 2 then p_partkey + 1 else p_partkey + 1 end b1,
+case p_size % 4 when 0 then 0 when 1 then p_partkey when 2 then p_partkey else p_partkey + 2 end b2,
+case when p_size % 4 = 3 and p_partkey % 2 = 0 and p_partkey > 0 then p_partkey else 1 end n0, case when p_size % 5 = 4 then p_size else 0 end c0 from part""")
+def develop_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Black levels, neutral and colour filter from tags with as many numbers as p_size says."""
+    k = F.col("p_partkey")
+    level = F.slice(F.array(k, k + 1, k + 2), 1, (F.col("p_size") % 4).cast("int"))
+    three = F.transform(level, lambda v: F.when(k % 2 == 0, v).otherwise(0))
+    pattern = F.slice(F.array(*[F.col("p_size")] * 4), 1, (F.col("p_size") % 5).cast("int"))
+    black, neutral, cfa = columns.black_levels(level), columns.neutral(three), columns.colour_filter(pattern)
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(black, F.lit(1)).cast("bigint").alias("b1"), F.get(black, F.lit(2)).cast("bigint").alias("b2"), F.get(neutral, F.lit(0)).cast("bigint").alias("n0"), F.get(cfa, F.lit(0)).alias("c0"))
+
+
+@query("select p_partkey, case p_partkey % 14 when 1 then 1 when 2 then 1 when 3 then 2 when 4 then 4 when 5 then 8 when 6 then 1 when 7 then 1 when 8 then 2 when 9 then 4 when 10 then 8 when 11 then 4 when 12 then 8 end size, p_partkey % 400 in (273, 278, 279, 322, 323, 324, 325, 330) structural, cast((1 << (p_partkey % 33)) - 1 as bigint) mask, (p_partkey * 5 + p_size) * 3 + p_partkey % 3 place from part")
+def tag_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k, columns.type_size((k % 14).cast("int")).alias("size"), columns.is_structural(k % 400).alias("structural"),
+        columns.mask(k % 33).alias("mask"), columns.sample_index(F.col("p_size"), k, k % 3, F.lit(5), F.lit(3)).alias("place"),
+    )
+
+
+@query("select rank, status, camera, format, sample, tested, total from (values " + ", ".join(str(row) for row in CAMERAS) + ") t(rank, status, camera, format, sample), (select 1 tested, 20 total)")
+def camera_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cameras, with how many of how many are tested."""
+    found = cameras(spark)
+    total = found.agg(F.count_if(F.col("status") == "Tested").cast("int").alias("tested"), F.count("*").cast("int").alias("total"))
+    return found.join(F.broadcast(total))
+
+
+def frame_bytes(levels: list[int], endian: str = "Little", side: int = 8, depth: int = 16) -> bytes:
+    """A frame whose raw image, below a thumbnail, has the given samples."""
+    make = lambda tag, kind, v: tiff.make(tag, kind, v, endian)
+    thumb = tiff.Directory(entries=[make(256, 3, [4]), make(257, 3, [2]), make(259, 3, [7]), make(271, 2, b"Maker\0")], layout="Strips", rows_per_strip=2, segments=[b"\xff\xd8" + bytes(levels[0] % 251 for _ in range(6))])
+    tags = [make(256, 4, [side]), make(257, 4, [side]), make(258, 3, [depth]), make(259, 3, [1]), make(262, 3, [32803]), make(277, 3, [1]), make(0x9000, 2, b"frame-meta\0"), make(50717, 4, [4095])]
+    raw = tiff.Directory(0, "sub", 0, None, tags, "Strips", side, None, None, [samples.pack(np.array(levels, np.uint16), depth, endian) + b"\xab"])
+    return tiff.serialise(tiff.Frame(endian, [thumb, raw]))
+
+
+def frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a frame for every vector, of 8 x 8 samples."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [f"{k:09d}.dng" for k in batch.column(0).to_pylist()]
+            made = [frame_bytes(v, ("Little", "Big")[sum(v) % 2]) for v in batch.column(1).to_pylist()]
+            yield pa.record_batch([pa.array(paths), pa.array(made, pa.binary())], names=["path", "content"])
+
+    level = lambda e: F.floor((e.cast("double") + 1.0) * 2047.0).cast("bigint").bitwiseAND(F.lit(4095)).cast("int")
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.transform("embedding", level).alias("levels"))
+    return rows.mapInArrow(kernel, "path string, content binary")
+
+
+LEVELS_SQL = f"levels as (select y vec_id, sum(s) total, max(s) top, count(*) n from ({GRID_SQL}) group by 1 having count(*) = 64)"
+
+
+@query(f"with {LEVELS_SQL} select vec_id, cast(total as bigint) total, 8 width, 8 height, true whole from levels")
+def ljpeg_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector through the codec and back: the sum of the decoded samples, and whether the stream was used up."""
+    columns.register(spark)
+    cells = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    level = lambda e: F.floor((e.cast("double") + 1.0) * 2047.0).cast("bigint").bitwiseAND(F.lit(4095)).cast("int")
+    made = cells.select("vec_id", F.call_function("ljpeg_encode", F.transform("embedding", level), F.lit(8), F.lit(8), F.lit(1), F.lit(12)).alias("stream"))
+    back = made.select("vec_id", "stream", F.call_function("ljpeg_decode", "stream").alias("d"))
+    total = F.aggregate("d.samples", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return back.select("vec_id", total.alias("total"), "d.width", "d.height", (F.col("d.consumed") == F.octet_length("stream")).alias("whole"))
+
+
+def _vec() -> Column:
+    return F.left("path", F.lit(9)).cast("bigint").alias("vec_id")
+
+
+@query(f"with {LEVELS_SQL} select vec_id, true same, 2 directories, 12 tags, 129 raw_bytes from levels")
+def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed into tables and assembled again: the bytes are the same."""
+    found = frame_files(spark, sf_dir)
+    rows = frames.parse(found)
+    again = frames.assemble(rows).withColumnRenamed("content", "again")
+    stats = rows.groupBy("path").agg(F.count("*").cast("int").alias("directories"), F.sum(F.size("entries")).cast("int").alias("tags"), F.max(F.octet_length(F.get("segments", F.lit(0)))).alias("raw_bytes"))
+    return found.join(again, "path").join(stats, "path").select(_vec(), (F.col("content") == F.col("again")).alias("same"), "directories", "tags", "raw_bytes")
+
+
+@query(f"with {LEVELS_SQL} select vec_id, true same, true proved from levels")
+def compress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames compressed with proof and decompressed again: the bytes are the same."""
+    found = frame_files(spark, sf_dir)
+    packed = pipelines.map_contents(found, codec.compress_bytes)
+    back = pipelines.map_contents(packed, codec.decompress_bytes).select("path", F.col("content").alias("again"))
+    proved = packed.select("path", F.col("error_code").isNull().alias("proved"))
+    return found.join(back, "path").join(proved, "path").select(_vec(), (F.col("content") == F.col("again")).alias("same"), "proved")
+
+
+@query(f"with {LEVELS_SQL} select vec_id, 'developed' kind, 8 width, 8 height, 256 bytes from levels")
+def develop_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pipelines.renditions(frame_files(spark, sf_dir))
+    return made.select(_vec(), "kind", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.octet_length("image").alias("bytes"))
+
+
+@query(f"with {LEVELS_SQL} select vec_id, 4 width, 2 height, 8 bytes from levels")
+def preview_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest JPEG of each frame, from the tables of directories and tags."""
+    rows = frames.parse(frame_files(spark, sf_dir))
+    tag = lambda t: F.get(F.get(F.filter("entries", lambda e: e["tag"] == t), F.lit(0))["ints"], F.lit(0))
+    data = F.aggregate("segments", F.lit(b""), lambda a, b: F.concat(a, b))
+    images = rows.select("path", "ifd_id", tag(256).alias("width"), tag(257).alias("height"), tag(259).alias("compression"), data.alias("data"))
+    images = images.where(F.col("compression").isin(6, 7) & (F.octet_length("data") >= 4) & (F.hex(F.left("data", F.lit(2))) == "FFD8"))
+    best = compare.top_one(images, ["path"], F.col("width") * F.col("height"), "ifd_id")
+    return best.select(_vec(), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.octet_length("data").alias("bytes"))
+
+
+@query(f"with {LEVELS_SQL} select vec_id, case when total % 2 = 0 then 'little-endian' else 'big-endian' end byte_order, false big_tiff, 8 width, 8 height, 8 tag_count, 'DNG' format, 64 digest from levels")
+def inspect_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pipelines.inspect_frames(frame_files(spark, sf_dir))
+    return found.select(_vec(), "byte_order", "big_tiff", *[F.col(c).cast("int").alias(c) for c in ("width", "height", "tag_count")], "format", F.length("checksum").alias("digest"))

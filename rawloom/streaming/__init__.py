@@ -1 +1 @@
-
+"""The engine has no streaming operators: a run over files is a batch.  Nothing is registered here."""
