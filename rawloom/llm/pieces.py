@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,45 +80,51 @@ class ChunkTable:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def add(self, words: list[str]) -> None:
+    def add(self, words: Iterable[str]) -> None:
         """Segment each chunk that the table lacks, once."""
         new = [w for w in dict.fromkeys(words) if w not in self.place]
         if not new:
             return
         ids = self.sp.encode(new, num_threads=1)
-        ids = [x if w else [self.sp.piece_to_id(MARK)] for w, x in zip(new, ids, strict=True)]
-        for w, back in zip(new, self.sp.decode(ids), strict=True):
-            if w != back:
-                self.odd[w] = back
+        if "" in new:
+            ids[new.index("")] = [self.sp.piece_to_id(MARK)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         at, total = len(self.place), int(counts.sum())
         for name, need in (("starts", at + len(new)), ("counts", at + len(new)), ("flat", self.used + total)):
             self._grow(name, need)
         self.counts[at : at + len(new)] = counts
         self.starts[at : at + len(new)] = self.used + np.cumsum(counts) - counts
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        every = list(chain.from_iterable(ids))
+        self.flat[self.used : self.used + total] = every
         self.used += total
         self.place.update(zip(new, range(at, at + len(new)), strict=True))
         self.chars += sum(map(len, new))
+        # Ids of chunks one after the other decode to the chunks with a space between; only where they don't is
+        # each chunk decoded by itself.
+        if self.sp.decode(every, num_threads=1) != " ".join(new):
+            self.odd.update((w, back) for w, x in zip(new, ids, strict=True) if w != (back := self.sp.decode(x, num_threads=1)))
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """Ids of a text, and the text that they decode to."""
+    def encode_all(self, found: list[str]) -> list[tuple[np.ndarray, str]]:
+        """Ids of each text, and the text that they decode to."""
         if len(self.place) > MAX_CHUNKS or self.chars > MAX_CHARS:
             self.clear()
-        places, back = [], []
-        for part in segments(text.replace(MARK, " ")):
-            words = chunks(part)
-            try:
-                places.append(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                self.add(words)
-                places.append(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
-            back.append(" ".join(self.odd.get(w, w) for w in words) if self.odd else part)
-        place = np.concatenate(places)
+        plain = [list(segments(text.replace(MARK, " "))) for text in found]
+        cut = [[chunks(part) for part in parts] for parts in plain]
+        self.add(chain.from_iterable(chain.from_iterable(parts) for parts in cut))
+        return [self._joined(parts, words) for parts, words in zip(plain, cut, strict=True)]
+
+    def encode(self, text: str) -> tuple[np.ndarray, str]:
+        return self.encode_all([text])[0]
+
+    def _joined(self, parts: list[str], cut: list[list[str]]) -> tuple[np.ndarray, str]:
+        """Ids by position, and the decoded text, of the chunks of a text."""
+        place = np.concatenate([np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in cut])
+        if self.odd:
+            parts = [" ".join([self.odd.get(w, w) for w in words]) for words in cut]
         counts = self.counts[place]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[place] - ends + counts, counts) + np.arange(total)], " ".join(back)
+        return self.flat[np.repeat(self.starts[place] - ends + counts, counts) + np.arange(total)], " ".join(parts)
 
 
 def table_of(model: str) -> ChunkTable:
@@ -141,7 +148,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table_of(model)
         for part in blocks(batches, text_col, 2 << 20):
-            made = [known.encode(x) for x in texts(part, text_col)]
+            made = known.encode_all(texts(part, text_col))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x, _ in made]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x for x, _ in made]).astype(np.int32)))
             yield pa.record_batch([part.column(0), ids, pa.array([x for _, x in made], pa.string())], names=["id", "ids", "decoded"])
@@ -149,11 +156,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(kernel, f"id {kind}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Token counts and digests of what encode() returns."""
+def digests(encoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """Token counts and digests of what encode() returns, and if asked for the ids themselves."""
     return encoded.select(
         F.col("id").alias(id_col),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )
