@@ -93,17 +93,27 @@ def features(flags: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_rows(rows: list[tuple[str, np.ndarray]]) -> LanguageModel:
-    """Fit on (language, presence flags of a window); the first rows of each language are the landmarks."""
-    rows = [(lang, x) for lang, x in rows if x.any()]
+def stored(flags: np.ndarray) -> bytes:
+    """Presence flags in a few kilobytes."""
+    return zlib.compress(np.packbits(flags).tobytes(), 1)
+
+
+def restored(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=OFFSETS[-1]).astype(bool)
+
+
+def fit_rows(rows: list[tuple[str, bytes]]) -> LanguageModel:
+    """Fit on (language, stored flags of a window); the first rows of each language are the landmarks.
+
+    Rows are restored batch by batch: memory holds the landmarks and the kernel matrix, not all flags."""
     classes = sorted({lang for lang, _ in rows})
     if not classes:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), 1.0)
-    marks = [x for c in classes for x in [x for lang, x in rows if lang == c][:LANDMARKS]]
+    marks = [restored(x) for c in classes for x in [x for lang, x in rows if lang == c][:LANDMARKS]]
     columns = np.flatnonzero(np.logical_or.reduce(marks))
     landmarks = features(marks, columns).T.copy()
     target = np.array([[1.0 if lang == c else -1.0 for c in classes] for lang, _ in rows])
-    known = np.concatenate([features([x for _, x in rows[i : i + BATCH]], columns) @ landmarks for i in range(0, len(rows), BATCH)]).astype(np.float64)
+    known = np.concatenate([features([restored(x) for _, x in rows[i : i + BATCH]], columns) @ landmarks for i in range(0, len(rows), BATCH)]).astype(np.float64)
     square = landmarks.T.astype(np.float64) @ landmarks
     left = known.T @ known + RIDGE * len(rows) * square + 1e-8 * np.trace(square) * np.eye(len(marks))
     weights = np.linalg.solve(left, known.T @ target)
@@ -132,12 +142,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
             for lang, rank, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part, "text"), strict=True):
                 cut = windows(text)
                 spread = sorted({int(k) for k in np.linspace(0, len(cut) - 1, min(ROW_WINDOWS, len(cut)))}) if cut else []
-                out.extend((lang, rank, zlib.compress(np.packbits(presence(cut[k])).tobytes(), 1)) for k in spread)
+                out.extend((lang, rank, stored(flags)) for k in spread if (flags := presence(cut[k])).any())
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary()))]
             yield pa.record_batch(columns, names=["lang", "rank", "flags"])
 
     found = sorted(chosen.mapInArrow(kernel, "lang string, rank long, flags binary").collect(), key=lambda r: (r["lang"], r["rank"], r["flags"]))
-    return fit_rows([(r["lang"], np.unpackbits(np.frombuffer(zlib.decompress(r["flags"]), np.uint8), count=OFFSETS[-1]).astype(bool)) for r in found])
+    return fit_rows([(r["lang"], bytes(r["flags"])) for r in found])
 
 
 def predict_texts(model: LanguageModel, found: list[str]) -> tuple[list[str], np.ndarray]:
