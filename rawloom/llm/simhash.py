@@ -204,3 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = placed.join(least, "component").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return named.join(by_fp, "fp").select(F.col("id").alias(id_col), shown, "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row, that of the smallest id, of each component; rows whose id is null stay.
+
+    Rows that repeat an id leave one row, if that id is kept."""
+    first = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("component_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col(id_col) == F.col("_first"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
