@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rawloom.llm.batches import blocks, raw
 from rawloom.llm.components import connected_components
-from rawloom.session import materialise
+from rawloom.session import fresh, materialise
 
 BITS = 64
 #: Fingerprints at this Hamming distance or less are linked.
@@ -210,6 +210,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row, that of the smallest id, of each component; rows whose id is null stay.
 
     Rows that repeat an id leave one row, if that id is kept."""
-    first = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("component_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_first"), "left_semi").dropDuplicates([id_col])
+    (name,) = fresh(docs, "_first")
+    first = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("component_id").alias(name)).distinct()
+    kept = docs.join(first, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rawloom.llm.batches import blocks, raw
 from rawloom.llm.words import Words, mix, word_hash, words
-from rawloom.session import materialise
+from rawloom.session import fresh, materialise
 
 #: Words of a template window, and the share of an item's windows that a document must have.
 WINDOW, CONTAINED = 5, 0.8
@@ -179,5 +179,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a benchmark item; rows with a null id stay."""
-    hit = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
+    (name,) = fresh(docs, "_hit")
+    hit = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(hit, F.col(id_col) == F.col(name), "left_anti")
