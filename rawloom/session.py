@@ -79,6 +79,8 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH.append((spark, path))
+    # Spark removes the shuffle files of a plan once the driver's JVM has found it unreachable: tell it to look.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
