@@ -16,6 +16,8 @@ from rawloom.llm.learning import labelled, sample_per_class
 
 #: Texts are compressed in pieces of this many bytes, so that a long text does not teach the compressor itself.
 PIECE = 1024
+#: Bytes that are added to a text's size before the difference is divided by it: a short text says little.
+SHRINK = 64
 #: Bytes of a dictionary, and level of compression.
 DICTIONARY, LEVEL = 96 << 10, 3
 #: Labelled rows of each class for the dictionaries, and for the calibration; the two sets share no row.
@@ -56,11 +58,11 @@ class CompressionModel:
         return self._made
 
     def difference(self, text: bytes) -> float:
-        """(size with the bad dictionary - size with the good one) / size without compression; empty: 0."""
+        """(size with the bad dictionary - size with the good one) / (size without compression + SHRINK); empty: 0."""
         if not text:
             return 0.0
         good, bad = self._compressors()
-        return sum(len(bad.compress(x)) - len(good.compress(x)) for x in cut(text)) / len(text)
+        return sum(len(bad.compress(x)) - len(good.compress(x)) for x in cut(text)) / (len(text) + SHRINK)
 
     def score(self, text: bytes) -> float:
         """The calibrated probability of label 1."""
