@@ -122,10 +122,10 @@ def test_pooling_equals_the_direct_sum():
     for k, text in enumerate(texts):
         own, _ = toxicity.tokens([text])
         x = model.embed(own)
-        n = max(1, len(text.split())) + (2 if text else 0)
+        n = len(text.split()) + 1
         want = []
         for w in toxicity.WIDTHS:
-            r = [sum(x[i + j] @ model.filters[w][j] for j in range(w)) for i in range(min(n, len(own) - w + 1))]
+            r = [sum(x[i + j] @ model.filters[w][j] for j in range(w)) for i in range(n)]
             want.append(np.maximum(np.max(r, axis=0), 0))
         assert np.allclose(pooled[k], np.concatenate(want), atol=1e-5)
 
