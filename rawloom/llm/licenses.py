@@ -146,20 +146,20 @@ def scan_texts(index: TemplateIndex, texts: list[bytes]) -> list[tuple[int, str,
     for (k, t), at in places.items():
         want = index.shingles[t]
         reach = len(want) + SHINGLE
-        best, count, beyond = (0.0, 0, 0), 0, -1
+        best, count, beyond = (0.0, 0, 0), 0, int(found.first[k])
         for p in sorted(set(at)):
             if p < beyond:
                 continue
-            first, last = max(int(found.first[k]), p - reach), min(int(found.first[k + 1]), p + reach + SPAN)
+            first, last = max(beyond, p - reach), min(int(found.first[k + 1]), p + reach + SPAN)
+            spots = [q for q in range(first, last - SHINGLE + 1) if shingle_set(found, q, q + SHINGLE) <= want]
             have = len(shingle_set(found, first, last) & want) / len(want)
             if have >= CONTAINED:
                 count += 1
-                beyond = p + reach - SHINGLE
+                beyond = spots[0] + len(want)  # what is left of this place begins no new one
                 if have > best[0]:
-                    best = (have, first, last)
+                    best = (have, spots[0], min(spots[-1], beyond) + SHINGLE)
         if count:
-            spots = [q for q in range(best[1], best[2] - SHINGLE + 1) if next(iter(shingle_set(found, q, q + SHINGLE))) in want]
-            out.append((k, index.names[t], best[0], spots[0] - int(found.first[k]), spots[-1] - spots[0] + SHINGLE, count))
+            out.append((k, index.names[t], best[0], best[1] - int(found.first[k]), best[2] - best[1], count))
     return out
 
 
