@@ -276,6 +276,11 @@ def test_blake3(n, monkeypatch):
     assert state.hexdigest() == HASHES[n]
 
 
+def test_blake3_of_many():
+    inputs = [bytes(k % 251 for k in range(n)) for n in HASHES] + [b"", bytes(5000), bytes(range(256)) * 13]
+    assert blake3.blake3_many(inputs) == [blake3.blake3(x) for x in inputs] and blake3.blake3_many([]) == []
+
+
 def _tiff(mark, big, fields, at=None):
     """A file of one directory of (tag, type, count, value) fields, and what follows."""
     if big:
