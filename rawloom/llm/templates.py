@@ -150,9 +150,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, windows, found, containment, same_values): documents that hold a benchmark item.
 
     Numbers, names and units become typed placeholders.  A document holds an item if at least CONTAINED of the
-    item's windows of WINDOW template words (an item of fewer words has a single one) occur in it and, along each
-    alignment that counts, every slot value of the item goes with one value of the document: same_values tells a
-    verbatim copy from a re-parameterised one.  Windows are compared as 64-bit hashes of templates.
+    item's windows of WINDOW template words (an item of fewer words has a single one) occur in it.  A window with equal
+    slot values counts in any case, one with other values where along its alignment every slot value of the item
+    goes with one value of the document: same_values tells whether all windows that count have equal values.
+    Windows are compared as 64-bit hashes of templates.
 
     Every window of every text takes part; the bit table of the benchmark's hashes, made when there are at most
     FILTER_MOST of them, only saves the join from windows that match nothing.  Null ids, null texts and texts
@@ -168,11 +169,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sides = items.select(F.col("id").alias("item"), F.col("pos").alias("q"), "size", "hash", F.col("slots").alias("item_slots"))
     joined = found.select("id", "pos", "size", "hash", "slots").join(sides, ["hash", "size"]).where(F.size("slots") == F.size("item_slots"))
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    lined = joined.groupBy("id", "item", (F.col("pos") - F.col("q")).alias("shift")).agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    consistent = lined.where(values == F.size("pairs")).withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
+    verbatim = F.when(F.col("slots") == F.col("item_slots"), F.col("q"))
+    lined = joined.groupBy("id", "item", (F.col("pos") - F.col("q")).alias("shift")).agg(F.collect_set("q").alias("all"), F.collect_set(verbatim).alias("equal"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
+    same = ~consistent | F.forall("pairs", lambda p: p["a"] == p["b"])
+    counted = lined.select("id", "item", F.when(consistent, F.col("all")).otherwise(F.col("equal")).alias("qs"), same.alias("same")).where(F.size("qs") > 0)
     total = items.select(F.col("id").alias("item"), F.col("pos")).distinct().groupBy("item").agg(F.count("*").alias("windows"))
-    held = consistent.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("qs")))).cast("long").alias("found"), F.min("same").alias("same_values"))
+    held = counted.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("qs")))).cast("long").alias("found"), F.min("same").alias("same_values"))
     scored = held.join(total, "item").withColumn("containment", F.col("found") / F.col("windows"))
     return scored.where(F.col("containment") >= CONTAINED).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "windows", "found", "containment", "same_values")
 

@@ -71,3 +71,18 @@ def test_word_hashes():
     assert found.hashes[0] == found.hashes[2] == found.hashes[4] and found.hashes[1] == found.hashes[7]
     assert len(set(found.hashes.tolist())) == 7 and found.first.tolist() == [0, 4, 4, 8, 10]
     assert found.prefixes(2)[0] == found.prefixes(2)[4]
+
+
+def test_one_altered_occurrence(spark):
+    """Windows that are copied verbatim count, though a name that occurs twice is altered once; others don't."""
+    rng = random.Random(9)
+    plain = [f"w{''.join(rng.choice('abcdefghij') for _ in range(5))}" for _ in range(50)]
+    words_ = [*plain[:20], "Maria", *plain[20:40], "Maria", *plain[40:]]
+    item = " ".join(words_)
+    once = " ".join([*words_[:41], "Anna", *words_[42:]])
+    none = " ".join([*plain[:4], "Maria", *plain[4:8], "Maria", *plain[8:12], "Maria", *plain[12:16]])
+    changed = " ".join([*plain[:4], "Anna", *plain[4:8], "Peter", *plain[8:12], "Paula", *plain[12:16]])
+    rows = [(0, once, "en", "s", 0), (1, changed, "en", "s", 0)]
+    items = spark.createDataFrame([(0, item), (1, none)], "item_id long, text string")
+    got = templates.contaminated(data.frame(spark, rows), items).collect()
+    assert [(r["doc_id"], r["item_id"], r["windows"], r["found"], r["same_values"]) for r in got] == [(0, 0, 48, 43, True)]
