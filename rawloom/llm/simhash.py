@@ -207,10 +207,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row, that of the smallest id, of each component; rows whose id is null stay.
-
-    Rows that repeat an id leave one row, if that id is kept."""
-    (name,) = fresh(docs, "_first")
-    first = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("component_id").alias(name)).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
+    """docs with one row, that of the smallest id and then hash of its text, of each component; rows whose id is null
+    stay.
+
+    Rows of one id with different texts are told apart; rows that repeat with the same id and text leave one."""
+    own, name = fresh(docs, "_own", "_first")
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")))
+    first = near_duplicates(keyed, own, text_col).select(F.col("component_id").alias(name)).distinct()
+    kept = keyed.join(first, F.col(own) == F.col(name), "left_semi").dropDuplicates([own]).drop(own)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -112,3 +112,13 @@ def test_components_of_a_path(spark):
     rows = [(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1000), (5000, 5000), (None, 3)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(rows, "src long, dst long")).collect()}
     assert all(found[k] == 0 for k in range(n + 1)) and found[1001] == found[1000] == 1000 and 5000 not in found
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    """Two texts of one id in two components: each component keeps a row."""
+    a = "one passage of text about the weather in the hills and the rain that falls on them in autumn"
+    b = "completely other matter, namely ships that sail by night without any lamps along a rocky coast"
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a, "en", "s", 0), (3, b, "en", "s", 0), (1, a, "en", "s", 0), (None, a, "en", "s", 0)]
+    kept = simhash.keep_first(data.frame(spark, rows))
+    assert kept.columns == data.frame(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
