@@ -9,7 +9,8 @@ from rawloom.functions.errors import FrameError
 from rawloom.functions.tiff import Directory, Entry, Frame
 
 UNCOMPRESSED, LOSSLESS_JPEG = 1, 7
-#: The private tag of directories that this library compressed, and its value; both parameters of a deployment.
+#: The private tag of compressed directories and its value, which files that were compressed elsewhere in
+#: this format carry.
 MARKER_TAG, MARKER_VALUE = 0xA1E9, 0x414C5048
 
 
@@ -38,21 +39,21 @@ def geometry(directory: Directory, endian: str) -> Geometry | None:
     if directory.segments is None or get(tiff.COMPRESSION, UNCOMPRESSED) != UNCOMPRESSED:
         return None
     if (planar := get(tiff.PLANAR, 1)) != 1:
-        raise FrameError("UnsupportedPlanarConfig", f"unsupported planar configuration {planar}: only chunky (1) is supported")
+        raise FrameError("UnsupportedPlanarConfig", f"PlanarConfiguration is {planar}; samples have to be interleaved (1)")
     bits = tiff.integers(directory.get(tiff.BITS), endian)
     if not bits:
-        raise FrameError("MissingTag", f"image directory is missing required tag {tiff.BITS}")
+        raise FrameError("MissingTag", f"an image without BitsPerSample (tag {tiff.BITS})")
     if len(set(bits)) > 1:
-        raise FrameError("InconsistentBitDepth", "inconsistent bits-per-sample across components")
+        raise FrameError("InconsistentBitDepth", "BitsPerSample does not give every component the same depth")
     if bits[0] not in samples.DEPTHS:
-        raise FrameError("UnsupportedBitDepth", f"unsupported bit depth {bits[0]}")
+        raise FrameError("UnsupportedBitDepth", f"samples of {bits[0]} bits; depths are {samples.DEPTHS}")
     if len(bits) != get(tiff.SAMPLES_PER_PIXEL, 1):
-        raise FrameError("InconsistentBitDepth", "inconsistent bits-per-sample across components")
+        raise FrameError("InconsistentBitDepth", "BitsPerSample does not give every component the same depth")
     if not 1 <= len(bits) <= 4:
-        raise FrameError("UnsupportedComponents", f"unsupported component count {len(bits)}: must be 1..=4")
+        raise FrameError("UnsupportedComponents", f"{len(bits)} components; a stream takes one to four")
     for tag in (tiff.WIDTH, tiff.LENGTH):
         if get(tag) is None:
-            raise FrameError("MissingTag", f"image directory is missing required tag {tag}")
+            raise FrameError("MissingTag", f"an image without tag {tag}, one of its dimensions")
     return Geometry(bits[0], len(bits), get(tiff.WIDTH), get(tiff.LENGTH))
 
 
@@ -63,13 +64,13 @@ def segment_size(directory: Directory, found: Geometry, index: int) -> tuple[int
     else:
         rows = directory.rows_per_strip
         if not rows:
-            raise FrameError("SegmentGeometry", "segment geometry inconsistent: rows_per_strip is zero")
+            raise FrameError("SegmentGeometry", "RowsPerStrip is 0")
         if index * rows >= found.height:
-            raise FrameError("SegmentGeometry", f"segment geometry inconsistent: strip {index} starts past image height {found.height}")
+            raise FrameError("SegmentGeometry", f"strip {index} lies below the last of {found.height} rows")
         size = found.width, min(rows, found.height - index * rows)
     for n in size:
         if n > 65535:
-            raise FrameError("DimensionTooLarge", f"pixel dimension {n} exceeds the 65535 limit of lossless JPEG")
+            raise FrameError("DimensionTooLarge", f"a side of {n} samples; a stream takes 65535 at most")
     return size
 
 
@@ -77,10 +78,10 @@ def encode_segment(data: bytes, found: Geometry, width: int, height: int, endian
     """The stream of a segment's pixels, and after it the padding that followed them."""
     row = width * found.components
     if row * found.precision % 8:
-        raise FrameError("UnsupportedRowAlignment", f"row of {row} samples at {found.precision} bits is not byte-aligned")
+        raise FrameError("UnsupportedRowAlignment", f"rows of {row} samples of {found.precision} bits do not end on whole bytes")
     pixels = samples.packed_bytes(row * height, found.precision)
     if len(data) < pixels:
-        raise FrameError("SegmentTooShort", f"segment too short: need {pixels} bytes for the pixel data, have {len(data)}")
+        raise FrameError("SegmentTooShort", f"a segment of {len(data)} bytes where its pixels take {pixels}")
     levels = samples.unpack(data, found.precision, endian, row * height)
     return ljpeg.encode(levels, width, height, found.components, found.precision) + data[pixels:]
 
@@ -106,7 +107,7 @@ def compress(frame: Frame) -> Frame:
     images = [d for k, d in enumerate(out.directories) if not _below_pointer(out, k)]
     for directory in images:
         if (entry := directory.get(MARKER_TAG)) and not marked(entry, endian):
-            raise FrameError("MarkerCollision", f"input already uses the private marker tag {MARKER_TAG:#06x} with a foreign value; refusing to overwrite it")
+            raise FrameError("MarkerCollision", f"tag {MARKER_TAG:#06x}, which marks compressed images, has a value of another origin")
     for directory in reversed(images):
         if (found := geometry(directory, endian)) is None:
             continue
@@ -142,24 +143,24 @@ def snapshot(directory: Directory, endian: str) -> dict[int, bytes]:
 def verify(before: Frame, after: Frame) -> None:
     """Raise unless `after` holds everything of `before`: the tree, every tag, every byte of every segment."""
     if before.endian != after.endian:
-        raise FrameError("RoundTrip", "round-trip verification failed: byte order differs")
+        raise FrameError("RoundTrip", "read back, the file has the other byte order")
     shape = [[(d.parent, d.edge, d.ordinal, d.pointer) for d in f.directories] for f in (before, after)]
     if shape[0] != shape[1]:
-        raise FrameError("RoundTrip", "round-trip verification failed: directory structure differs")
+        raise FrameError("RoundTrip", "read back, the tree of directories is another one")
     endian = before.endian
     for k, (old, new) in enumerate(zip(before.directories, after.directories, strict=True)):
         if found := tag_differences(snapshot(old, endian), snapshot(new, endian)):
-            raise FrameError("TagViolations", f"metadata not preserved: {found}")
+            raise FrameError("TagViolations", f"read back, these tags are not as they were: {found}")
         ours = not _below_pointer(before, k) and old.segments is not None and is_compressed(new, endian) and tiff.first(old, tiff.COMPRESSION, endian, UNCOMPRESSED) == UNCOMPRESSED
         if not ours:
             if old.segments != new.segments or (old.layout, old.rows_per_strip, old.tile_width, old.tile_length) != (new.layout, new.rows_per_strip, new.tile_width, new.tile_length):
-                raise FrameError("RoundTrip", "round-trip verification failed: image differs")
+                raise FrameError("RoundTrip", "read back, an image that was to stay is another one")
             continue
         if new.segments is None or len(new.segments) != len(old.segments) or (old.layout, old.rows_per_strip, old.tile_width, old.tile_length) != (new.layout, new.rows_per_strip, new.tile_width, new.tile_length):
-            raise FrameError("RoundTrip", "round-trip verification failed: segments differ")
+            raise FrameError("RoundTrip", "read back, an image is cut into other segments")
         for j, (x, y) in enumerate(zip(old.segments, new.segments, strict=True)):
             if decode_segment(y, endian) != x:
-                raise FrameError("RoundTrip", f"round-trip verification failed: segment {j} differs")
+                raise FrameError("RoundTrip", f"decoded again, segment {j} has other bytes")
 
 
 def same(a: Frame, b: Frame) -> bool:
@@ -173,7 +174,7 @@ def compress_bytes(data: bytes, check: bool = True) -> bytes:
     frame = tiff.parse(data)
     made = compress(frame)
     if same(frame, made):
-        raise FrameError("NothingToCompress", "nothing to compress: all image data is already compressed")
+        raise FrameError("NothingToCompress", "the frame has no uncompressed image")
     if check:
         verify(frame, made)
     return tiff.serialise(made)
@@ -183,7 +184,7 @@ def decompress_bytes(data: bytes) -> bytes:
     frame = tiff.parse(data)
     made = decompress(frame)
     if same(frame, made):
-        raise FrameError("NothingToDecompress", "nothing to decompress: no compressed image data of this library found")
+        raise FrameError("NothingToDecompress", "the frame has no image that this library compressed")
     return tiff.serialise(made)
 
 

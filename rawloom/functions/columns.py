@@ -24,7 +24,8 @@ def _c(x: Column | str) -> Column:
 
 
 def is_frame_name(path: Column | str) -> Column:
-    return F.lower(_c(path)).rlike(r"\.dng$")
+    """Whether a path ends in .dng, in any case; a file that is called nothing but that is none."""
+    return F.lower(_c(path)).rlike(r"[^/]\.dng$")
 
 
 def sample_index(x: Column, y: Column, c: Column, width: Column, components: Column) -> Column:
@@ -50,6 +51,10 @@ def swap16(b: Column | str) -> Column:
     return F.concat(F.substring(_c(b), 2, 1), F.substring(_c(b), 1, 1))
 
 
+def swap64(b: Column | str) -> Column:
+    return F.concat(*[F.substring(_c(b), k, 1) for k in range(8, 0, -1)])
+
+
 def swap32(b: Column | str) -> Column:
     return F.concat(*[F.substring(_c(b), k, 1) for k in (4, 3, 2, 1)])
 
@@ -117,7 +122,7 @@ def format_count(n: Column | str) -> Column:
 
 
 def detect_format(name: Column | str, is_tiff: Column) -> Column:
-    return F.when(~F.coalesce(is_tiff, F.lit(False)), "Unknown").when(is_frame_name(name), "DNG").otherwise("TIFF")
+    return F.when(~F.coalesce(is_tiff, F.lit(False)), "Unknown").when(F.lower(_c(name)).endswith(".dng"), "DNG").otherwise("TIFF")
 
 
 def dimensions(width: Column | str, height: Column | str) -> Column:
@@ -249,8 +254,7 @@ def register(spark: SparkSession) -> list[str]:
 
     @pandas_udf("string")
     def raw_blake3(data: pd.Series) -> pd.Series:
-        known = [b for b in data if b is not None]
-        made = iter([h for k in range(0, len(known), 256) for h in blake3.blake3_many(known[k : k + 256])])
+        made = iter([h for run in blake3.runs([b for b in data if b is not None]) for h in blake3.blake3_many(run)])
         return pd.Series([None if b is None else next(made) for b in data], dtype=object)
 
     @pandas_udf("struct<byte_order:string,big_tiff:boolean,width:long,height:long,tag_count:long>")

@@ -87,15 +87,15 @@ def canonical_codes(lengths: list[int]) -> list[int]:
 def check(width: int, height: int, components: int, precision: int, samples: np.ndarray) -> None:
     """Raise for what a stream can't hold."""
     if not 1 <= components <= 4:
-        raise FrameError("InvalidComponents", f"invalid component count {components}: must be 1..=4")
+        raise FrameError("InvalidComponents", f"{components} components; a stream takes one to four")
     if not 2 <= precision <= 16:
-        raise FrameError("InvalidPrecision", f"invalid precision {precision}: must be 2..=16")
+        raise FrameError("InvalidPrecision", f"a precision of {precision} bits, not 2 to 16")
     if width < 1 or height < 1 or width > 65535 or height > 65535:
-        raise FrameError("InvalidDimensions", f"invalid dimensions {width}x{height}")
+        raise FrameError("InvalidDimensions", f"an image of {width} by {height} samples")
     if samples.size != width * height * components:
-        raise FrameError("SampleCountMismatch", f"sample buffer length {samples.size} does not match expected {width * height * components}")
+        raise FrameError("SampleCountMismatch", f"{samples.size} samples for an image that takes {width * height * components}")
     if precision < 16 and int(samples.max()) >> precision:
-        raise FrameError("SampleOutOfRange", f"sample value {int(samples.max())} does not fit in {precision}-bit precision")
+        raise FrameError("SampleOutOfRange", f"a sample of {int(samples.max())} among samples of {precision} bits")
 
 
 def _bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ class _Cursor:
 
     def take(self, n: int) -> bytes:
         if self.at + n > len(self.data):
-            raise FrameError("UnexpectedEof", "unexpected end of bitstream")
+            raise FrameError("UnexpectedEof", "the stream ends too early")
         self.at += n
         return self.data[self.at - n : self.at]
 
@@ -166,12 +166,12 @@ class _Cursor:
 def _lookup(counts: bytes, symbols: bytes) -> list[int]:
     """For every 16-bit prefix its symbol and code length (symbol << 5 | length); 0 where no code begins so."""
     if sum(counts) != len(symbols):
-        raise FrameError("Malformed", "malformed bitstream: Huffman table count mismatch")
+        raise FrameError("Malformed", "a code table lists more or fewer symbols than it counts")
     out, code, k = [0] * 65536, 0, 0
     for length in range(1, 17):
         for _ in range(counts[length - 1]):
             if code >= 1 << length:
-                raise FrameError("Malformed", "malformed bitstream: over-subscribed Huffman table")
+                raise FrameError("Malformed", "a code table has more codes than their lengths allow")
             a = code << (16 - length)
             out[a : a + (1 << (16 - length))] = [symbols[k] << 5 | length] * (1 << (16 - length))
             code += 1
@@ -186,7 +186,7 @@ def decode(data: bytes) -> Decoded:
     Only SOF3, DHT and SOS segments may come before the scan."""
     cur = _Cursor(data)
     if (found := cur.u16()) != SOI:
-        raise FrameError("InvalidMarker", f"invalid marker: expected {SOI:#06x}, found {found:#06x}")
+        raise FrameError("InvalidMarker", f"{found:#06x} where the stream should begin with {SOI:#06x}")
     frame, tables = None, {}
     while True:
         marker = cur.u16()
@@ -195,28 +195,28 @@ def decode(data: bytes) -> Decoded:
         elif marker == DHT:
             left = cur.u16() - 2
             if left < 0:
-                raise FrameError("Malformed", "malformed bitstream: table length")
+                raise FrameError("Malformed", "the code tables do not fill the length of their segment")
             while left > 0:
                 head, counts = cur.u8(), cur.take(16)
                 symbols = cur.take(sum(counts))
                 left -= 17 + len(symbols)
                 if head >> 4 or head & 15 > 3:
-                    raise FrameError("Malformed", "malformed bitstream: Huffman table class or slot")
+                    raise FrameError("Malformed", "a code table of a class or slot that lossless streams lack")
                 tables[head & 15] = _lookup(counts, symbols)
             if left:
-                raise FrameError("Malformed", "malformed bitstream: table length")
+                raise FrameError("Malformed", "the code tables do not fill the length of their segment")
         elif marker == SOS:
             break
         else:
-            raise FrameError("UnsupportedMarker", f"unsupported marker {marker:#06x}")
+            raise FrameError("UnsupportedMarker", f"a segment {marker:#06x} before the scan")
     if frame is None:
-        raise FrameError("Malformed", "malformed bitstream: scan before frame header")
+        raise FrameError("Malformed", "the scan comes before any frame header")
     precision, height, width, ids = frame
     chosen = _scan_header(cur, ids, tables)
     differences, end = _entropy(data, cur.at, width * height * len(ids), chosen)
     cur.at = end
     if (found := cur.u16()) != EOI:
-        raise FrameError("InvalidMarker", f"invalid marker: expected {EOI:#06x}, found {found:#06x}")
+        raise FrameError("InvalidMarker", f"{found:#06x} after the scan, where {EOI:#06x} ends a stream")
     samples = restore(differences.reshape(height, width, len(ids)), precision).ravel()
     return Decoded(samples, width, height, len(ids), precision, cur.at)
 
@@ -224,18 +224,18 @@ def decode(data: bytes) -> Decoded:
 def _frame_header(cur: _Cursor) -> tuple[int, int, int, list[int]]:
     length, precision, height, width, n = cur.u16(), cur.u8(), cur.u16(), cur.u16(), cur.u8()
     if not 2 <= precision <= 16:
-        raise FrameError("InvalidPrecision", f"invalid precision {precision}: must be 2..=16")
+        raise FrameError("InvalidPrecision", f"a precision of {precision} bits, not 2 to 16")
     if not 1 <= n <= 4:
-        raise FrameError("InvalidComponents", f"invalid component count {n}: must be 1..=4")
+        raise FrameError("InvalidComponents", f"the frame header names {n} components, not one to four")
     if width < 1 or height < 1:
-        raise FrameError("InvalidDimensions", f"invalid dimensions {width}x{height}")
+        raise FrameError("InvalidDimensions", f"an image of {width} by {height} samples")
     if length != 8 + 3 * n:
-        raise FrameError("Malformed", "malformed bitstream: frame header length")
+        raise FrameError("Malformed", "the length of the frame header does not fit its components")
     ids = []
     for _ in range(n):
         ids.append(cur.u8())
         if cur.u8() != 0x11:
-            raise FrameError("Unsupported", "unsupported bitstream feature: subsampling")
+            raise FrameError("Unsupported", "a subsampled component")
         cur.u8()
     return precision, height, width, ids
 
@@ -243,25 +243,25 @@ def _frame_header(cur: _Cursor) -> tuple[int, int, int, list[int]]:
 def _scan_header(cur: _Cursor, ids: list[int], tables: dict[int, list[int]]) -> list[list[int]]:
     length, n = cur.u16(), cur.u8()
     if n != len(ids) or length != 6 + 2 * n:
-        raise FrameError("Malformed", "malformed bitstream: scan header")
+        raise FrameError("Malformed", "the scan header does not name the components of the frame")
     chosen = []
     for _ in range(n):
         cur.u8()
         slot = cur.u8() >> 4
         if slot not in tables:
-            raise FrameError("Malformed", "malformed bitstream: missing Huffman table")
+            raise FrameError("Malformed", "the scan names a code table that was not given")
         chosen.append(tables[slot])
     predictor = cur.u8()
     cur.take(2)
     if predictor != 1:
-        raise FrameError("Unsupported", "unsupported bitstream feature: predictor")
+        raise FrameError("Unsupported", "a predictor other than the left neighbour")
     return chosen
 
 
 def _entropy(data: bytes, start: int, count: int, tables: list[list[int]]) -> tuple[np.ndarray, int]:
     """`count` differences of the entropy-coded data, and where the marker after them is."""
     if count > 8 * (len(data) - start) + 64:
-        raise FrameError("UnexpectedEof", "unexpected end of bitstream")
+        raise FrameError("UnexpectedEof", "the stream ends too early")
     at, n, out = start, len(data), [0] * count
     acc = have = 0
     components = len(tables)
@@ -281,18 +281,18 @@ def _entropy(data: bytes, start: int, count: int, tables: list[list[int]]) -> tu
         length, cat = found & 31, found >> 5
         if not length or length > have:
             if have < 16:
-                raise FrameError("UnexpectedEof", "unexpected end of bitstream")
-            raise FrameError("Malformed", "malformed bitstream: undecodable Huffman code")
+                raise FrameError("UnexpectedEof", "the stream ends too early")
+            raise FrameError("Malformed", "bits that no code of the table begins with")
         have -= length
         if cat == 0:
             continue
         if cat >= 16:
             if cat > 16:
-                raise FrameError("Malformed", "malformed bitstream: magnitude category")
+                raise FrameError("Malformed", "a difference of more than 16 bits")
             out[i] = -32768
             continue
         if cat > have:
-            raise FrameError("UnexpectedEof", "unexpected end of bitstream")
+            raise FrameError("UnexpectedEof", "the stream ends too early")
         have -= cat
         value = acc >> have & ((1 << cat) - 1)
         out[i] = value if value >> (cat - 1) else value - (1 << cat) + 1

@@ -20,10 +20,10 @@ def unpack(data: bytes, depth: int, endian: str, count: int) -> np.ndarray:
     8 and 16 bits are whole bytes, 16 in the file's byte order; 10, 12 and 14 bits are packed from the most
     significant bit on, whatever the byte order."""
     if depth not in DEPTHS:
-        raise FrameError("UnsupportedBitDepth", f"unsupported bit depth {depth}")
+        raise FrameError("UnsupportedBitDepth", f"samples of {depth} bits; depths are {DEPTHS}")
     need = packed_bytes(count, depth)
     if len(data) < need:
-        raise FrameError("SegmentTooShort", f"segment too short: need {need} bytes for the pixel data, have {len(data)}")
+        raise FrameError("SegmentTooShort", f"{count} samples of {depth} bits take {need} bytes, not {len(data)}")
     if depth == 8:
         return np.frombuffer(data, np.uint8, count).astype(np.uint16)
     if depth == 16:
@@ -35,10 +35,10 @@ def unpack(data: bytes, depth: int, endian: str, count: int) -> np.ndarray:
 def pack(samples: np.ndarray, depth: int, endian: str) -> bytes:
     """The inverse of unpack(); a last incomplete byte is filled up with zero bits."""
     if depth not in DEPTHS:
-        raise FrameError("UnsupportedBitDepth", f"unsupported bit depth {depth}")
+        raise FrameError("UnsupportedBitDepth", f"samples of {depth} bits; depths are {DEPTHS}")
     samples = np.asarray(samples, np.uint16)
     if depth < 16 and len(samples) and int(samples.max()) >> depth:
-        raise FrameError("SampleOutOfRange", f"sample value {int(samples.max())} does not fit in {depth}-bit precision")
+        raise FrameError("SampleOutOfRange", f"a sample of {int(samples.max())} among samples of {depth} bits")
     if depth == 8:
         return samples.astype(np.uint8).tobytes()
     if depth == 16:

@@ -128,7 +128,7 @@ class _Parser:
 
     def slice(self, at: int, n: int) -> bytes:
         if at + n > len(self.data):
-            raise FrameError("Truncated", f"truncated data: need {n} byte(s) at offset {at}")
+            raise FrameError("Truncated", f"the file ends before byte {at + n}")
         return self.data[at : at + n]
 
     def u16(self, at: int) -> int:
@@ -141,7 +141,7 @@ class _Parser:
         """An entry, and where its elements are if that is outside the directory."""
         tag, kind, count = self.u16(at), self.u16(at + 2), self.u32(at + 4)
         if kind not in TYPES:
-            raise FrameError("UnknownFieldType", f"unknown TIFF field type {kind}")
+            raise FrameError("UnknownFieldType", f"a field of type {kind}")
         size = TYPES[kind][0] * count
         where = at + 8 if size <= 4 else self.u32(at + 8)
         return Entry(tag, kind, count, self.slice(where, size)), None if size <= 4 else where
@@ -187,7 +187,7 @@ class _Parser:
             else:
                 made.rows_per_strip = next((x[0] for x in (get(ROWS_PER_STRIP), get(LENGTH)) if x), 0)
             if len(at) != len(sizes):
-                raise FrameError("Inconsistent", "inconsistent DNG: segment offset/count length mismatch")
+                raise FrameError("Inconsistent", "an image with more or fewer offsets than sizes of its segments")
             made.segments = [self.slice(a, n) for a, n in zip(at, sizes, strict=True)]
             return
 
@@ -196,12 +196,12 @@ def parse(data: bytes) -> Frame:
     """The tree of a file.  A chain of top directories that comes back on itself ends there."""
     endian = {b"II": "Little", b"MM": "Big"}.get(data[:2])
     if len(data) < 2:
-        raise FrameError("Truncated", "truncated data: need 2 byte(s) at offset 0")
+        raise FrameError("Truncated", "the file has no room for a byte order")
     if endian is None:
-        raise FrameError("BadByteOrder", "invalid byte-order marker")
+        raise FrameError("BadByteOrder", "the file begins with no byte order")
     parser = _Parser(data, endian)
     if (magic := parser.u16(2)) != 42:
-        raise FrameError("BadMagic", f"bad TIFF magic: expected 42, found {magic}")
+        raise FrameError("BadMagic", f"{magic} after the byte order, where 42 stands in a TIFF file")
     at, seen, k = parser.u32(4), set(), 0
     while at and at not in seen:
         seen.add(at)
@@ -265,7 +265,7 @@ def serialise(frame: Frame) -> bytes:
         entries += [longs(nodes[c].pointer, [0]) for c in children[k]["pointer"]]
         entries.sort(key=lambda e: e.tag)
         if len(entries) > 65535:
-            raise FrameError("ValueTooLarge", "value too large to encode in classic TIFF")
+            raise FrameError("ValueTooLarge", "a file beyond what 32-bit offsets reach")
         at, cursor = cursor, cursor + 6 + 12 * len(entries)
         places = []
         for entry in entries:
@@ -282,7 +282,7 @@ def serialise(frame: Frame) -> bytes:
             cursor += size
         plans.append((at, entries, places, spots))
     if cursor >= 1 << 32:
-        raise FrameError("ValueTooLarge", "value too large to encode in classic TIFF")
+        raise FrameError("ValueTooLarge", "a file beyond what 32-bit offsets reach")
     out = bytearray(cursor)
     tops = [k for k, node in enumerate(nodes) if node.edge == "top"]
     following = {a: plans[b][0] for a, b in zip(tops, tops[1:], strict=False)}

@@ -16,15 +16,18 @@ def filter_colour(y: Column, x: Column, cfa: tuple[int, ...] = RGGB) -> Column:
 def demosaic(cells: DataFrame, image: list[str] | None = None, level: str = "s", cfa: tuple[int, ...] = RGGB) -> DataFrame:
     """(image, y, x, r, g, b): for each colour the mean of its samples in the 3 x 3 neighbourhood; 0 where none is.
 
-    Each cell gives its level to the nine cells around it and one aggregation collects them: a shuffle with
-    partial sums, no join."""
+    Sums and counts over three neighbours along each row, then of these along each column: every cell moves twice."""
     image = image or []
-    here = cells.withColumn("colour", filter_colour(F.col("y"), F.col("x"), cfa))
-    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    given = here.select(*image, F.col("y").alias("y0"), F.col("x").alias("x0"), level, "colour", F.explode(around).alias("o"))
-    given = given.select(*image, (F.col("y0") + F.col("o.dy")).alias("y"), (F.col("x0") + F.col("o.dx")).alias("x"), F.col(level).alias("s"), "colour", ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("own"))
-    means = [F.coalesce(F.avg(F.when(F.col("colour") == k, F.col("s"))), F.lit(0.0)).alias(c) for k, c in enumerate("rgb")]
-    return given.groupBy(*image, "y", "x").agg(*means, F.bool_or("own").alias("own")).where("own").drop("own")
+    colour = filter_colour(F.col("y"), F.col("x"), cfa)
+    own = [F.when(colour == k, v).otherwise(0).alias(f"{c}{n}") for k, c in enumerate("rgb") for n, v in (("s", F.col(level)), ("n", F.lit(1)))]
+    names = [f"{c}{n}" for c in "rgb" for n in "sn"]
+
+    def around(df: DataFrame, along: str, across: str) -> DataFrame:
+        near = Window.partitionBy(*image, across).orderBy(along).rangeBetween(-1, 1)
+        return df.select(*image, "y", "x", *[F.sum(c).over(near).alias(c) for c in names])
+
+    total = around(around(cells.select(*image, "y", "x", *own), "x", "y"), "y", "x")
+    return total.select(*image, "y", "x", *[F.when(F.col(f"{c}n") > 0, F.col(f"{c}s") / F.col(f"{c}n")).otherwise(0.0).alias(c) for c in "rgb"])
 
 
 def strips(images: DataFrame, height: str = "height", rows_per_strip: str = "rows_per_strip") -> DataFrame:

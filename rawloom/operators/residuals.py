@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rawloom.functions.columns import category, value_bits, wrapped
+from rawloom.session import fresh, quoted
 
 
-def predicted(middle: int, image: list[str], y: str = "y", x: str = "x", s: str = "s") -> Column:
-    """Left neighbour, else the one above, else the middle of the range; image: the columns that name an image."""
-    left = F.lag(s).over(Window.partitionBy(*image, y).orderBy(x))
-    above = F.lag(s).over(Window.partitionBy(*image, x).orderBy(y))
-    return F.coalesce(left, above, F.lit(middle))
+def predicted(cells: DataFrame, middle: int, image: list[str], y: str = "y", x: str = "x", s: str = "s") -> tuple[DataFrame, Column]:
+    """cells, with what it takes, and the prediction: the left neighbour; in the first column (x = 0) the sample above;
+    in the first row of that column the middle of the range.  image: the columns that name an image.
+
+    Only the first column is dealt by image: everything else stays within its row."""
+    above, left = fresh(cells, "_above", "_left")
+    first = cells.where(F.col(x) == 0).select(*image, y, F.lag(s).over(Window.partitionBy(*image).orderBy(y)).alias(above))
+    with_left = cells.withColumn(left, F.lag(s).over(Window.partitionBy(*image, y).orderBy(x)))
+    joined = with_left.join(first, [*image, y], "left")
+    return joined, F.coalesce(left, F.when(F.col(x) == 0, F.col(above)), F.lit(middle))
 
 
 def residuals(cells: DataFrame, precision: int, image: list[str] | None = None) -> DataFrame:
     """cells (y, x, s and the columns of image) with d, the wrapped difference to the prediction, its category and
     extra bits."""
-    d = wrapped(F.col("s") - predicted(1 << (precision - 1), image or []))
-    return cells.withColumn("d", d).withColumn("cat", category("d")).withColumn("bits", value_bits("d"))
+    found, guess = predicted(cells, 1 << (precision - 1), image or [])
+    made = found.withColumn("d", wrapped(F.col("s") - guess)).withColumn("cat", category("d")).withColumn("bits", value_bits("d"))
+    return made.select(*[F.col(quoted(c)) for c in cells.columns], "d", "cat", "bits")
 
 
 def reconstructed(cells: DataFrame, precision: int, image: list[str] | None = None) -> DataFrame:

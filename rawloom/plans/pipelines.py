@@ -142,7 +142,7 @@ def offload(spark: SparkSession, source: str, destinations: list[str]) -> DataFr
 
     A file that can't be read has one row, with an error and no destination.  Errors stay in the report."""
     if not destinations:
-        raise FrameError("NoDestinations", "no destinations specified")
+        raise FrameError("NoDestinations", "an offload needs one target folder at least")
     files = frames.walk(source)
     ship(spark)
     schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in COPIES.split(", ")])

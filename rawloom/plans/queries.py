@@ -32,44 +32,46 @@ def query(sql: str | None = None):
     return keep
 
 
-#: The sample grid that stands in for a frame: y = vec_id, x = position, 12 bits.
-GRID_SQL = """select vec_id y, x - 1 x, cast(floor((cast(embedding[x] as double) + 1.0) * 2047.0) as bigint) & 4095 s
+#: Rows of an image of the sample grid.
+ROWS = 64
+#: The sample grid that stands in for frames: y = vec_id, x = position, 12 bits; ROWS vectors are an image.
+GRID_SQL = """select vec_id // 64 image, vec_id y, x - 1 x, cast(floor((cast(embedding[x] as double) + 1.0) * 2047.0) as bigint) & 4095 s
 from embeddings, generate_series(1, len(embedding)) g(x)"""
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "e"))
+    cells = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / ROWS).alias("image"), F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "e"))
     level = F.floor((F.col("e").cast("double") + 1.0) * 2047.0).cast("bigint").bitwiseAND(F.lit(4095))
-    return cells.select("y", "x", level.alias("s"))
+    return cells.select("image", "y", "x", level.alias("s"))
 
 
 RESIDUAL_SQL = f"""with g as ({GRID_SQL}),
-n as (select y, x, s, lag(s) over (partition by y order by x) l, lag(s) over (partition by x order by y) u from g),
+n as (select y, x, s, lag(s) over (partition by y order by x) l, lag(s) over (partition by image, x order by y) u from g),
 d as (select y, x, ((s - coalesce(l, u, 2048) + 32768) & 65535) - 32768 d from n),
 r as (select y, x, d, case when d = 0 then 0 else length(bin(abs(d))) end cat from d)"""
 
 
 @query(f"{RESIDUAL_SQL} select cat, count(*) n, sum(d) sd from r group by 1")
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residuals.histogram(residuals.residuals(grid(spark, sf_dir), 12))
+    return residuals.histogram(residuals.residuals(grid(spark, sf_dir), 12, ["image"]))
 
 
 @query(f"{RESIDUAL_SQL} select y, x, d, cat from r")
 def residual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residuals.residuals(grid(spark, sf_dir), 12).select("y", "x", "d", "cat")
+    return residuals.residuals(grid(spark, sf_dir), 12, ["image"]).select("y", "x", "d", "cat")
 
 
 @query(f"select y, x, s from ({GRID_SQL})")
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples again, from nothing but the residuals."""
-    found = residuals.residuals(grid(spark, sf_dir), 12).select("y", "x", "d")
-    return residuals.reconstructed(found, 12).select("y", "x", "s")
+    found = residuals.residuals(grid(spark, sf_dir), 12, ["image"]).select("image", "y", "x", "d")
+    return residuals.reconstructed(found, 12, ["image"]).select("y", "x", "s")
 
 
 @query(f"""{RESIDUAL_SQL} select cat, cast(sum(case when d >= 0 then d else d + (1 << cat) - 1 end) as bigint) bits_sum,
 max(case when d >= 0 then d else d + (1 << cat) - 1 end) bits_max from r group by 1""")
 def entropy_value_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = residuals.residuals(grid(spark, sf_dir), 12)
+    found = residuals.residuals(grid(spark, sf_dir), 12, ["image"])
     return found.groupBy("cat").agg(F.sum("bits").cast("bigint").alias("bits_sum"), F.max("bits").alias("bits_max"))
 
 
@@ -217,6 +219,20 @@ def checksum_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.call_function("raw_blake3", F.col("text").cast("binary")).alias("checksum"))
 
 
+#: Published BLAKE3 test vectors: the hashes of as many bytes, which count up modulo 251.
+BLAKE3_VECTORS = ((0, "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"), (1, "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213"), (1024, "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7"), (1025, "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444"), (2049, "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030"), (31744, "62b6960e1a44bcc1eb1a611a8d6235b6b4b78f32e7abc4fb4c6cdcce94895c47"), (102400, "bc3e3d41a1146b069abffad3c0d44860cf664390afce4d9661f7902e7943e085"))
+
+
+@query("select n, checksum from (values " + ", ".join(map(str, BLAKE3_VECTORS)) + ") t(n, checksum)")
+def blake3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published vectors, from their inputs."""
+    columns.register(spark)
+    sizes = spark.createDataFrame([(n,) for n, _ in BLAKE3_VECTORS], "n int")
+    step = F.unhex(F.lit(bytes(range(251)).hex()))
+    filled = F.aggregate(F.sequence(F.lit(0), F.floor(F.col("n") / 251).cast("int")), F.lit(b""), lambda a, _: F.concat(a, step))
+    return sizes.select("n", F.call_function("raw_blake3", F.substring(filled, F.lit(1), F.col("n"))).alias("checksum"))
+
+
 @query("""select label, vec_id, area from (select label, vec_id, a area, row_number() over (partition by label order by a desc, vec_id) r
 from (select *, cast(floor(abs(embedding[1]) * 40) * floor(abs(embedding[2]) * 40) as bigint) a from embeddings) where a > 0) where r = 1""")
 def largest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,12 +241,12 @@ def largest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.top_one(rows, ["label"], F.col("area"), "vec_id").select("label", "vec_id", "area")
 
 
-@query(f"""with g as (select y, x, s, case when y % 2 = 0 and x % 2 = 0 then 0 when y % 2 = 1 and x % 2 = 1 then 2 else 1 end c from ({GRID_SQL})),
+@query(f"""with g as (select image, y, x, s, case when y % 2 = 0 and x % 2 = 0 then 0 when y % 2 = 1 and x % 2 = 1 then 2 else 1 end c from ({GRID_SQL})),
 o as (select dy, dx from range(-1, 2) a(dy), range(-1, 2) b(dx))
 select p.y, p.x, round(coalesce(avg(q.s) filter (q.c = 0), 0), 6) r, round(coalesce(avg(q.s) filter (q.c = 1), 0), 6) g, round(coalesce(avg(q.s) filter (q.c = 2), 0), 6) b
-from (select g.y, g.x, g.y + dy ny, g.x + dx nx from g, o) p join g q on q.y = p.ny and q.x = p.nx group by 1, 2""")
+from (select image, g.y, g.x, g.y + dy ny, g.x + dx nx from g, o) p join g q on q.image = p.image and q.y = p.ny and q.x = p.nx group by 1, 2""")
 def demosaic_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = imaging.demosaic(grid(spark, sf_dir))
+    made = imaging.demosaic(grid(spark, sf_dir), ["image"])
     return made.select("y", "x", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
@@ -269,13 +285,33 @@ def colour_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix(spark, sf_dir).select("vec_id", *[F.round(v, 6).alias(f"v{i}") for i, v in enumerate(found)])
 
 
-@query(f"""select vec_id, round(det, 6) det, case when abs(det) >= 1e-9 then cast(round(det * ((m4 * m8 - m5 * m7) / det), 6) as double) end a0,
-case when abs(det) >= 1e-9 then cast(round(det * ((m0 * m4 - m1 * m3) / det), 6) as double) end a8
+#: The entries of the adjugate of m0 to m8.
+_ADJUGATE = ("m4 * m8 - m5 * m7", "m2 * m7 - m1 * m8", "m1 * m5 - m2 * m4", "m5 * m6 - m3 * m8", "m0 * m8 - m2 * m6", "m2 * m3 - m0 * m5", "m3 * m7 - m4 * m6", "m1 * m6 - m0 * m7", "m0 * m4 - m1 * m3")
+
+
+@query("select vec_id, round(det, 6) det, " + ", ".join(f"case when abs(det) >= 1e-9 then cast(round(det * (({a}) / det), 6) as double) end a{k}" for k, a in enumerate(_ADJUGATE)) + f"""
 from (select *, m0 * (m4 * m8 - m5 * m7) - m1 * (m3 * m8 - m5 * m6) + m2 * (m3 * m7 - m4 * m6) det from (select vec_id, {_M} from embeddings))""")
 def invert_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Determinants and two entries of the inverses, times the determinant so that rounding is even."""
+    """Determinants and the inverses, times the determinant so that rounding is even."""
     det, inverse = columns.invert3([F.col(f"m{k}") for k in range(9)])
-    return matrix(spark, sf_dir).select("vec_id", F.round(det, 6).alias("det"), F.round(det * inverse[0], 6).alias("a0"), F.round(det * inverse[8], 6).alias("a8"))
+    return matrix(spark, sf_dir).select("vec_id", F.round(det, 6).alias("det"), *[F.round(det * x, 6).alias(f"a{k}") for k, x in enumerate(inverse)])
+
+
+@query("select vec_id, " + ", ".join(f"round(({_XYZ[3 * i]}::double) * m{j} + ({_XYZ[3 * i + 1]}::double) * m{3 + j} + ({_XYZ[3 * i + 2]}::double) * m{6 + j}, 6) p{3 * i + j}" for i in range(3) for j in range(3)) + f" from (select vec_id, {_M} from embeddings)")
+def matmul_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = columns.matmul3([F.lit(x) for x in _XYZ], [F.col(f"m{k}") for k in range(9)])
+    return matrix(spark, sf_dir).select("vec_id", *[F.round(v, 6).alias(f"p{k}") for k, v in enumerate(made)])
+
+
+@query("select vec_id, case when vec_id % 3 = 0 then vec_id when vec_id % 3 = 1 then -vec_id end first, case when vec_id % 3 < 2 then 9 end n from embeddings")
+def colour_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second matrix where it has nine numbers, else the first, else none."""
+    k = F.col("vec_id")
+    nine, few = lambda v: F.array_repeat(v, 9), lambda v: F.array_repeat(v, 8)
+    second = F.when(k % 3 == 0, nine(k)).otherwise(few(k))
+    first = F.when(k % 3 == 1, nine(-k)).when(k % 3 == 0, nine(k + 1)).otherwise(few(k))
+    found = columns.colour_matrix(second, first)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.get(found, F.lit(8)).alias("first"), F.when(found.isNotNull(), F.size(found)).alias("n"))
 
 
 @query("""select p_partkey, cast(strip as int) strip, strip * rps first_row, least(rps, height - strip * rps) rows_in
@@ -310,11 +346,11 @@ def pack12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("p_partkey", first.cast("int").alias("a"), second.cast("int").alias("b"), "packed")
 
 
-@query("select p_partkey, substr(h, 3, 2) || substr(h, 1, 2) swapped, printf('%02X', (p_partkey * 31) % 256) || printf('%02X', (p_partkey * 31) // 256 % 256) little from (select p_partkey, printf('%04X', p_partkey * 31 % 65536) h from part)")
+@query("select p_partkey, substr(h, 3, 2) || substr(h, 1, 2) swapped, substr(h, 3, 2) || substr(h, 1, 2) || '000000000000' long_swapped, printf('%02X', (p_partkey * 31) % 256) || printf('%02X', (p_partkey * 31) // 256 % 256) little from (select p_partkey, printf('%04X', p_partkey * 31 % 65536) h from part)")
 def endian_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = F.unhex(F.lpad(F.hex(F.col("p_partkey") * 31 % 65536), 4, "0"))
     swapped = F.hex(columns.swap16(big))
-    return table(spark, sf_dir, "part").select("p_partkey", swapped.alias("swapped"), F.hex(F.substring(columns.swap32(F.concat(F.unhex(F.lit("0000")), big)), 1, 2)).alias("little"))
+    return table(spark, sf_dir, "part").select("p_partkey", swapped.alias("swapped"), F.hex(columns.swap64(F.concat(F.unhex(F.lit("000000000000")), big))).alias("long_swapped"), F.hex(F.substring(columns.swap32(F.concat(F.unhex(F.lit("0000")), big)), 1, 2)).alias("little"))
 
 
 GUARD_ROWS = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint) q from lineitem"""
@@ -342,11 +378,14 @@ def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", columns.human_bytes(n).alias("shown"))
 
 
-@query("""select k, case when n < 1000 then n || ' B' when n < 10000 then printf('%.2f kB', floor(n / 10.0 + 0.5) / 100) when n < 100000 then printf('%.1f kB', floor(n / 100.0 + 0.5) / 10) when n < 1000000 then printf('%.0f kB', floor(n / 1000.0 + 0.5)) else printf('%.2f MB', floor(n / 10000.0 + 0.5) / 100) end shown
-from (select p_partkey k, cast(p_partkey * 997 % 2000003 as bigint) n from part)""")
+@query("""select k, case when n < 1000 then n || ' B' when v < 10 then printf('%.2f', floor(v * 100 + 0.5) / 100) || unit when v < 100 then printf('%.1f', floor(v * 10 + 0.5) / 10) || unit else printf('%.0f', floor(v + 0.5)) || unit end shown
+from (select *, cast(n as double) / pow(1000, e) v, [' B', ' kB', ' MB', ' GB', ' TB'][e + 1] unit from (select *, case when n < 1000 then 0 when n < 1000000 then 1 when n < 1000000000 then 2 when n < 1000000000000 then 3 else 4 end e
+from (select p_partkey k, cast(p_partkey * 997 % 2000003 as bigint) * [1, 1009, 1000003, 1000000007][p_partkey % 4 + 1] n from part)))""")
 def si_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_partkey") * 997 % 2000003
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), columns.si_bytes(n).alias("shown"))
+    """Sizes from bytes to terabytes."""
+    k = F.col("p_partkey")
+    n = k * 997 % 2000003 * F.get(F.array(*[F.lit(x).cast("bigint") for x in (1, 1009, 1000003, 1000000007)]), (k % 4).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), columns.si_bytes(n).alias("shown"))
 
 
 @query("select doc_id, left(sha256(text), 10) || '…' || right(sha256(text), 10) short, format('{:,}', n_chars) shown from documents")
@@ -369,7 +408,7 @@ def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).select("page_id", columns.detect_format("name", F.col("is_tiff")).alias("format"), columns.download_name("name").alias("download"))
 
 
-@query(f"with {NAMES_SQL} select page_id, name from names where lower(name) like '%.dng'")
+@query(f"with {NAMES_SQL} select page_id, name from names where lower(name) like '%_.dng' and lower(name) not like '%/.dng'")
 def frame_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).where(columns.is_frame_name("name")).select("page_id", "name")
 
@@ -410,30 +449,46 @@ def camera_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(total))
 
 
-def frame_bytes(levels: list[int], endian: str = "Little", side: int = 8, depth: int = 16) -> bytes:
+def frame_bytes(levels: list[int], endian: str = "Little", width: int = 8, depth: int = 16) -> bytes:
     """A frame whose raw image, below a thumbnail, has the given samples."""
     make = lambda tag, kind, v: tiff.make(tag, kind, v, endian)
+    height = len(levels) // width
     thumb = tiff.Directory(entries=[make(256, 3, [4]), make(257, 3, [2]), make(259, 3, [7]), make(271, 2, b"Maker\0")], layout="Strips", rows_per_strip=2, segments=[b"\xff\xd8" + bytes(levels[0] % 251 for _ in range(6))])
-    tags = [make(256, 4, [side]), make(257, 4, [side]), make(258, 3, [depth]), make(259, 3, [1]), make(262, 3, [32803]), make(277, 3, [1]), make(0x9000, 2, b"frame-meta\0"), make(50717, 4, [4095])]
-    raw = tiff.Directory(0, "sub", 0, None, tags, "Strips", side, None, None, [samples.pack(np.array(levels, np.uint16), depth, endian) + b"\xab"])
+    tags = [make(256, 4, [width]), make(257, 4, [height]), make(258, 3, [depth]), make(259, 3, [1]), make(262, 3, [32803]), make(277, 3, [1]), make(0x9000, 2, b"frame-meta\0"), make(50717, 4, [4095])]
+    raw = tiff.Directory(0, "sub", 0, None, tags, "Strips", height, None, None, [samples.pack(np.array(levels, np.uint16), depth, endian) + b"\xab"])
     return tiff.serialise(tiff.Frame(endian, [thumb, raw]))
 
 
-def frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): a frame for every vector, of 8 x 8 samples."""
+def level_of(e: Column) -> Column:
+    """The 12-bit sample of an element of a vector."""
+    return F.floor((e.cast("double") + 1.0) * 2047.0).cast("bigint").bitwiseAND(F.lit(4095)).cast("int")
+
+
+#: Widths of the frames made of vectors, by vec_id.
+WIDTHS = (4, 8, 16)
+
+
+def frame_files(spark: SparkSession, sf_dir: str, level: Callable[[Column], Column] = level_of) -> DataFrame:
+    """(path, content): a frame of every vector of 64 elements, 4, 8 or 16 samples wide."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [f"{k:09d}.dng" for k in batch.column(0).to_pylist()]
-            made = [frame_bytes(v, ("Little", "Big")[sum(v) % 2]) for v in batch.column(1).to_pylist()]
-            yield pa.record_batch([pa.array(paths), pa.array(made, pa.binary())], names=["path", "content"])
+            ids = batch.column(0).to_pylist()
+            made = [frame_bytes(v, ("Little", "Big")[sum(v) % 2], WIDTHS[k % 3]) for k, v in zip(ids, batch.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array([f"{k:09d}.dng" for k in ids]), pa.array(made, pa.binary())], names=["path", "content"])
 
-    level = lambda e: F.floor((e.cast("double") + 1.0) * 2047.0).cast("bigint").bitwiseAND(F.lit(4095)).cast("int")
     rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.transform("embedding", level).alias("levels"))
     return rows.mapInArrow(kernel, "path string, content binary")
 
 
-LEVELS_SQL = f"levels as (select y vec_id, sum(s) total, max(s) top, count(*) n from ({GRID_SQL}) group by 1 having count(*) = 64)"
+def sample_sum(data: Column, endian: Column, count: int) -> Column:
+    """The sum of 16-bit samples."""
+    byte = lambda k: F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 10).cast("bigint")
+    high = F.when(endian == "Big", 1).otherwise(0)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(count - 1)), F.lit(0).cast("bigint"), lambda a, k: a + byte(2 * k + 2 - high) * 256 + byte(2 * k + 1 + high))
+
+
+LEVELS_SQL = f"levels as (select y vec_id, cast(sum(s) as bigint) total, min_by(s, x) first, [4, 8, 16][y % 3 + 1] width from ({GRID_SQL}) group by y having count(*) = 64)"
 
 
 @query(f"with {LEVELS_SQL} select vec_id, cast(total as bigint) total, 8 width, 8 height, true whole from levels")
@@ -441,8 +496,7 @@ def ljpeg_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector through the codec and back: the sum of the decoded samples, and whether the stream was used up."""
     columns.register(spark)
     cells = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
-    level = lambda e: F.floor((e.cast("double") + 1.0) * 2047.0).cast("bigint").bitwiseAND(F.lit(4095)).cast("int")
-    made = cells.select("vec_id", F.call_function("ljpeg_encode", F.transform("embedding", level), F.lit(8), F.lit(8), F.lit(1), F.lit(12)).alias("stream"))
+    made = cells.select("vec_id", F.call_function("ljpeg_encode", F.transform("embedding", level_of), F.lit(8), F.lit(8), F.lit(1), F.lit(12)).alias("stream"))
     back = made.select("vec_id", "stream", F.call_function("ljpeg_decode", "stream").alias("d"))
     total = F.aggregate("d.samples", F.lit(0).cast("bigint"), lambda a, v: a + v)
     return back.select("vec_id", total.alias("total"), "d.width", "d.height", (F.col("d.consumed") == F.octet_length("stream")).alias("whole"))
@@ -452,45 +506,82 @@ def _vec() -> Column:
     return F.left("path", F.lit(9)).cast("bigint").alias("vec_id")
 
 
-@query(f"with {LEVELS_SQL} select vec_id, true same, 2 directories, 12 tags, 129 raw_bytes from levels")
+@query(f"with {LEVELS_SQL} select vec_id, true same, 2 directories, 12 tags, 129 raw_bytes, total from levels")
 def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed into tables and assembled again: the bytes are the same."""
+    """Parsed into tables and assembled again: the bytes are the same, and the segments hold the samples."""
     found = frame_files(spark, sf_dir)
     rows = frames.parse(found)
     again = frames.assemble(rows).withColumnRenamed("content", "again")
-    stats = rows.groupBy("path").agg(F.count("*").cast("int").alias("directories"), F.sum(F.size("entries")).cast("int").alias("tags"), F.max(F.octet_length(F.get("segments", F.lit(0)))).alias("raw_bytes"))
-    return found.join(again, "path").join(stats, "path").select(_vec(), (F.col("content") == F.col("again")).alias("same"), "directories", "tags", "raw_bytes")
+    raw = F.when(F.col("ifd_id") == 1, sample_sum(F.get("segments", F.lit(0)), F.col("endian"), 64))
+    stats = rows.groupBy("path").agg(F.count("*").cast("int").alias("directories"), F.sum(F.size("entries")).cast("int").alias("tags"), F.max(F.octet_length(F.get("segments", F.lit(0)))).alias("raw_bytes"), F.max(raw).alias("total"))
+    return found.join(again, "path").join(stats, "path").select(_vec(), (F.col("content") == F.col("again")).alias("same"), "directories", "tags", "raw_bytes", "total")
 
 
-@query(f"with {LEVELS_SQL} select vec_id, true same, true proved from levels")
+@query(f"with {LEVELS_SQL} select vec_id, true same, true proved, total from levels")
 def compress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames compressed with proof and decompressed again: the bytes are the same."""
+    """Frames compressed with proof and decompressed again: the bytes are the same, and so are the samples."""
     found = frame_files(spark, sf_dir)
     packed = pipelines.map_contents(found, codec.compress_bytes)
     back = pipelines.map_contents(packed, codec.decompress_bytes).select("path", F.col("content").alias("again"))
     proved = packed.select("path", F.col("error_code").isNull().alias("proved"))
-    return found.join(back, "path").join(proved, "path").select(_vec(), (F.col("content") == F.col("again")).alias("same"), "proved")
-
-
-@query(f"with {LEVELS_SQL} select vec_id, 'developed' kind, 8 width, 8 height, 256 bytes from levels")
+    raw = frames.parse(back.select("path", F.col("again").alias("content"))).where("ifd_id = 1")
+    totals = raw.select("path", sample_sum(F.get("segments", F.lit(0)), F.col("endian"), 64).alias("total"))
+    return found.join(back, "path").join(proved, "path").join(totals, "path").select(_vec(), (F.col("content") == F.col("again")).alias("same"), "proved", "total")
+
+
+@query(f"""with cells as (select y vec_id, x // w py, x % w px, case when s >= 2048 then 1.0 else 0.0 end v from (select *, [4, 8, 16][y % 3 + 1] w, count(*) over (partition by y) n from ({GRID_SQL})) where n = 64),
+coloured as (select *, case when py % 2 = 0 and px % 2 = 0 then 0 when py % 2 = 1 and px % 2 = 1 then 2 else 1 end c from cells),
+means as (select p.vec_id, p.py, p.px, c.k, coalesce(avg(q.v) filter (q.c = c.k), 0) m from cells p, (values (0), (1), (2)) c(k), coloured q
+where q.vec_id = p.vec_id and abs(q.py - p.py) <= 1 and abs(q.px - p.px) <= 1 group by all),
+shown as (select *, cast(floor((case when m <= 0.0031308 then 12.92 * m else 1.055 * pow(m, 1.0 / 2.4) - 0.055 end) * 255.0 + 0.5) as bigint) level from means)
+select vec_id, 'developed' kind, cast([4, 8, 16][vec_id % 3 + 1] as int) width, cast(64 // [4, 8, 16][vec_id % 3 + 1] as int) height, cast(sum(level) filter (k = 0) as bigint) red, cast(sum(level) filter (k = 1) as bigint) green,
+cast(sum(level) filter (k = 2) as bigint) blue, cast(sum(level * (py * 31 + px * 7 + k)) as bigint) placed from shown group by 1""")
 def develop_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pipelines.renditions(frame_files(spark, sf_dir))
-    return made.select(_vec(), "kind", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.octet_length("image").alias("bytes"))
+    """Frames of black and white samples, developed: the sums of each channel, and of all levels weighted by place."""
+    made = pipelines.renditions(frame_files(spark, sf_dir, lambda e: F.when(level_of(e) >= 2048, 4095).otherwise(0)))
+    byte = lambda k: F.conv(F.hex(F.substring("image", k + 1, F.lit(1))), 16, 10).cast("bigint")
+    places, zero = F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint")
+    channel = lambda c: F.aggregate(places, zero, lambda a, k: a + byte(4 * k + c))
+    weight = lambda k: F.floor(k / F.col("width")) * 31 + k % F.col("width") * 7
+    placed = F.aggregate(places, zero, lambda a, k: (a + byte(4 * k) * weight(k) + byte(4 * k + 1) * (weight(k) + 1) + byte(4 * k + 2) * (weight(k) + 2)).cast("bigint"))
+    return made.select(_vec(), "kind", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), channel(0).alias("red"), channel(1).alias("green"), channel(2).alias("blue"), placed.alias("placed"))
 
 
-@query(f"with {LEVELS_SQL} select vec_id, 4 width, 2 height, 8 bytes from levels")
+@query(f"with {LEVELS_SQL} select vec_id, 4 width, 2 height, 8 bytes, cast(first % 251 as int) last from levels")
 def preview_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest JPEG of each frame, from the tables of directories and tags."""
+    """The largest JPEG of each frame, from the tables of directories and tags, and its last byte."""
     rows = frames.parse(frame_files(spark, sf_dir))
     tag = lambda t: F.get(F.get(F.filter("entries", lambda e: e["tag"] == t), F.lit(0))["ints"], F.lit(0))
     data = F.aggregate("segments", F.lit(b""), lambda a, b: F.concat(a, b))
     images = rows.select("path", "ifd_id", tag(256).alias("width"), tag(257).alias("height"), tag(259).alias("compression"), data.alias("data"))
     images = images.where(F.col("compression").isin(6, 7) & (F.octet_length("data") >= 4) & (F.hex(F.left("data", F.lit(2))) == "FFD8"))
     best = compare.top_one(images, ["path"], F.col("width") * F.col("height"), "ifd_id")
-    return best.select(_vec(), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.octet_length("data").alias("bytes"))
+    last = F.conv(F.hex(F.substring("data", -1, 1)), 16, 10).cast("int")
+    return best.select(_vec(), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.octet_length("data").alias("bytes"), last.alias("last"))
 
 
-@query(f"with {LEVELS_SQL} select vec_id, case when total % 2 = 0 then 'little-endian' else 'big-endian' end byte_order, false big_tiff, 8 width, 8 height, 8 tag_count, 'DNG' format, 64 digest from levels")
+@query(f"with {LEVELS_SQL} select vec_id, case when total % 2 = 0 then 'little-endian' else 'big-endian' end byte_order, false big_tiff, cast(width as int) width, cast(64 // width as int) height, 8 tag_count, 'DNG' format, true hashed from levels")
 def inspect_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pipelines.inspect_frames(frame_files(spark, sf_dir))
-    return found.select(_vec(), "byte_order", "big_tiff", *[F.col(c).cast("int").alias(c) for c in ("width", "height", "tag_count")], "format", F.length("checksum").alias("digest"))
+    columns.register(spark)
+    files_ = frame_files(spark, sf_dir)
+    hashes = files_.select("path", F.call_function("raw_blake3", "content").alias("again"))
+    found = pipelines.inspect_frames(files_).join(hashes, "path")
+    return found.select(_vec(), "byte_order", "big_tiff", *[F.col(c).cast("int").alias(c) for c in ("width", "height", "tag_count")], "format", (F.col("checksum") == F.col("again")).alias("hashed"))
+
+
+def _depth_sql(depth: int) -> str:
+    return f"select vec_id, {depth} depth, cast(sum(s & {(1 << depth) - 1}) as bigint) total, {64 * depth // 8} bytes, sha256(string_agg(lpad(bin(s & {(1 << depth) - 1}), {depth}, '0'), '' order by x)) bits from g group by 1"
+
+
+@query(f"with g as (select y vec_id, x, s * 13 s, count(*) over (partition by y) n from ({GRID_SQL})), k as (select * from g where n = 64) " + " union all ".join(_depth_sql(d).replace("from g", "from k") for d in samples.DEPTHS))
+def sample_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples packed at every depth: the sum of what is read back, and the packed bits."""
+    columns.register(spark)
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    deep = rows.select("vec_id", F.transform("embedding", lambda e: level_of(e) * 13).alias("levels"), F.explode(F.array(*[F.lit(d) for d in samples.DEPTHS])).alias("depth"))
+    masked = deep.select("vec_id", "depth", F.transform("levels", lambda v: v.bitwiseAND((columns.mask(F.col("depth"))).cast("int"))).alias("levels"))
+    packed = masked.select("vec_id", "depth", F.call_function("raw_pack", "levels", "depth", F.lit("Big")).alias("packed"))
+    back = packed.select("vec_id", "depth", "packed", F.call_function("raw_unpack", "packed", "depth", F.lit("Big"), F.lit(64)).alias("levels"))
+    digits = F.transform(F.sequence(F.lit(1), F.octet_length("packed")), lambda k: F.lpad(F.conv(F.hex(F.substring("packed", k, F.lit(1))), 16, 2), 8, "0"))
+    total = F.aggregate("levels", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return back.select("vec_id", "depth", total.alias("total"), F.octet_length("packed").alias("bytes"), F.sha2(F.array_join(digits, ""), 256).alias("bits"))

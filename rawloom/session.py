@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to Python, unless a single row has more.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
+#: Whether Spark removes the shuffle files of a plan once it has run, without waiting for the driver's JVM to find it
+#: unreachable.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Scratch tables written by this process; removed when it ends.
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -30,6 +36,10 @@ def local_session(cpus: int = 8, shuffle: int = 8, memory: str = "12g") -> Spark
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context, so that kernels can be imported there."""
     context = spark.sparkContext
+    # Arrow batches are bounded by bytes, as rows may be whole files or very long texts.
+    found = re.fullmatch(r"(\d+)b?", spark.conf.get(BATCH_KEY))
+    if not found or int(found[1]) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     if getattr(context, "_rawloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
@@ -59,13 +69,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column name as an identifier, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one if the master is
+    local, else an error, as executors could not see it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rawloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -77,10 +95,13 @@ def materialise(df: DataFrame) -> DataFrame:
     Unlike a cached or locally checkpointed frame the files survive the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _SCRATCH.append((spark, path))
-    # Spark removes the shuffle files of a plan once the driver's JVM has found it unreachable: tell it to look.
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

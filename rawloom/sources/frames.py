@@ -38,10 +38,10 @@ def resolve(path: str) -> list[str]:
     if os.path.isfile(path):
         return [path]
     if not os.path.isdir(path):
-        raise FrameError("NotFileOrDir", f"path is neither a file nor a directory: {path}")
+        raise FrameError("NotFileOrDir", f"{path}: nothing there that can be read as a file or folder")
     found = list_frames(path)
     if not found:
-        raise FrameError("NoFrames", f"no DNG frames found under {path}")
+        raise FrameError("NoFrames", f"{path}: the folder holds no file that ends in .dng")
     return found
 
 
@@ -50,7 +50,7 @@ def walk(root: str) -> list[tuple[str, str]]:
     if os.path.isfile(root):
         return [(root, os.path.basename(root))]
     if not os.path.isdir(root):
-        raise FrameError("NotFileOrDir", f"path is neither a file nor a directory: {root}")
+        raise FrameError("NotFileOrDir", f"{root}: nothing there that can be read as a file or folder")
     out = []
     for at, folders, names in os.walk(root):
         folders[:] = [f for f in folders if not os.path.islink(os.path.join(at, f))]
