@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from rawloom.llm.batches import blocks, raw
 from rawloom.llm.words import Words, mix, shingles, words
+from rawloom.session import ship
 
 #: Words of a shingle, and the share of a template's shingles that a text must have.
 SHINGLE, CONTAINED = 5, 0.8
-#: A window has SPAN shingles and starts every STRIDE; any run of SPAN + STRIDE - 1 shingles holds a whole window.
-SPAN, STRIDE = 8, 4
-#: Windows of equal content always collide; at a similarity of 0.8 a pair of windows collides in some band with
-#: probability 1 - (1 - 0.8^ROWS)^BANDS = 0.9997.
-BANDS, ROWS = 8, 2
+#: Windows by the length of a template: (span in shingles, stride, bands, rows of a band).  A template takes the first
+#: whose span + stride - 1 it has, so that any copy of it holds a whole window of the grid.  Windows of equal content
+#: always collide; windows of similarity 0.8 do in some band with probability 1 - (1 - 0.8^rows)^bands: 0.9997 for
+#: spans of 8 and 0.998 for spans of 4.  Shorter windows are equal or at a third of similarity at most.
+WINDOWS = ((8, 4, 8, 2), (4, 2, 6, 2), (2, 1, 2, 1), (1, 1, 1, 1))
+#: Templates that may be searched for at once: the index is broadcast.
+MOST_TEMPLATES, MOST_WORDS = 10_000, 2_000_000
 
 #: Notices and headers of common licenses: fixed public wordings.
 TEMPLATES = {
@@ -38,23 +41,52 @@ TEMPLATES = {
     "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0/deed": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "MIT/conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT/warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MIT/short": "This project is licensed under the MIT License.",
+    "Apache-2.0/spdx": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-2.0/spdx": "SPDX-License-Identifier: GPL-2.0",
+    "GPL-3.0/spdx": "SPDX-License-Identifier: GPL-3.0",
+    "LGPL-2.1/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL/warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL/copy": "You should have received a copy of the GNU General Public License along with this program. If not, see",
+    "ISC/permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC/warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD/source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD/binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause/endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD/liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib/warranty": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Zlib/permission": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Unlicense/dedication": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "EPL-2.0/header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "BSL-1.0/notice": "Distributed under the Boost Software License, Version 1.0.",
 }
 
-_FACTORS = (np.random.default_rng(80).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_FACTORS = (np.random.default_rng(80).integers(1, 1 << 62, max(b * r for _, _, b, r in WINDOWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """MinHash band keys (windows x BANDS) of the windows of SPAN shingle hashes that begin at starts."""
-    keys = np.zeros((len(starts), BANDS), np.uint64)
+def class_of(n: int) -> int:
+    """The kind of windows for a template of n shingles."""
+    return next(k for k, (span, stride, _, _) in enumerate(WINDOWS) if n >= span + stride - 1)
+
+
+def signatures(hashes: np.ndarray, starts: np.ndarray, kind: int) -> np.ndarray:
+    """MinHash band keys (windows x bands) of the windows of shingle hashes that begin at starts."""
+    span, _, bands, rows = WINDOWS[kind]
+    keys = np.full((len(starts), bands), kind, np.uint64)
     if not len(starts):
         return keys
-    for k, factor in enumerate(_FACTORS):
+    for k, factor in enumerate(_FACTORS[: bands * rows]):
         h = (hashes * factor) >> np.uint64(32)
         least = h[starts]
-        for j in range(1, SPAN):
+        for j in range(1, span):
             np.minimum(least, h[starts + j], out=least)
-        keys[:, k // ROWS] = keys[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least
-    return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        keys[:, k // rows] = keys[:, k // rows] * np.uint64(0x9E3779B97F4A7C15) + least
+    return mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_set(found: Words, first: int, last: int) -> set[bytes]:
@@ -65,63 +97,55 @@ def shingle_set(found: Words, first: int, last: int) -> set[bytes]:
 
 @dataclass
 class TemplateIndex:
-    """names; shingles of each template as text, and their number; band keys and shingle hashes, sorted, with the
-    templates that have them; bit tables of both."""
+    """names; shingles of each template as text; band keys, sorted, with the templates that have them, and a bit table
+    of them for each kind of windows."""
 
     names: list[str]
     shingles: list[set]
-    longest: int
     keys: np.ndarray
-    key_owner: np.ndarray
-    single: np.ndarray
-    single_owner: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.key_bits, self.single_bits = _bits(self.keys), _bits(self.single)
-
-
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << 18, bool)
-    table[(hashes & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-    return table
-
-
-def _hits(table: np.ndarray, known: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(place, template) of the hashes that templates have."""
-    for at in np.flatnonzero(table[(hashes & np.uint64((1 << 18) - 1)).astype(np.int64)]):
-        a, b = np.searchsorted(known, hashes[at]), np.searchsorted(known, hashes[at], side="right")
-        for k in range(a, b):
-            yield int(at), int(owner[k])
+    owner: np.ndarray
+    bits: dict[int, np.ndarray]
 
 
 def index_of(templates: dict[str, str]) -> TemplateIndex:
-    """Index templates of SHINGLE words or more.
-
-    Windows at every offset of the longer ones are indexed by their bands; the others, too short to hold a whole
-    window of the grid, by each of their shingles (a window of one shingle is its own minimum)."""
-    names, sets, keys, key_owner, single, single_owner = [], [], [], [], [], []
+    """Index templates of SHINGLE words or more: the bands of their windows at every offset."""
+    if len(templates) > MOST_TEMPLATES:
+        raise ValueError(f"over {MOST_TEMPLATES} templates")
+    names, sets, keys, owner, total = [], [], [], [], 0
+    bits: dict[int, np.ndarray] = {}
     for name, text in templates.items():
         found = words([text.encode()])
         hashes = shingles(found.hashes, SHINGLE)
         if not len(hashes):
             raise ValueError(f"{name} has fewer than {SHINGLE} words")
-        if len(hashes) >= SPAN + STRIDE - 1:
-            made = signatures(hashes, np.arange(len(hashes) - SPAN + 1)).ravel()
-            keys.append(made)
-            key_owner.append(np.full(len(made), len(names)))
-        else:
-            single.append(hashes)
-            single_owner.append(np.full(len(hashes), len(names)))
+        if (total := total + len(hashes)) > MOST_WORDS:
+            raise ValueError(f"templates have over {MOST_WORDS} words")
+        kind = class_of(len(hashes))
+        made = signatures(hashes, np.arange(len(hashes) - WINDOWS[kind][0] + 1), kind).ravel()
+        bits.setdefault(kind, np.zeros(1 << 18, bool))[(made & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        keys.append(made)
+        owner.append(np.full(len(made), len(names), np.uint64))
         names.append(name)
         sets.append(shingle_set(found, 0, len(found.hashes)))
+    pairs = np.unique(np.stack([np.concatenate(keys), np.concatenate(owner)], axis=1), axis=0) if keys else np.zeros((0, 2), np.uint64)
+    return TemplateIndex(names, sets, np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int64), bits)
 
-    def ordered(hashes: list, owner: list) -> tuple[np.ndarray, np.ndarray]:
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(hashes), np.concatenate(owner).astype(np.uint64)], axis=1), axis=0)
-        return np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int64)
 
-    return TemplateIndex(names, sets, max(map(len, sets), default=0), *ordered(keys, key_owner), *ordered(single, single_owner))
+def candidates(index: TemplateIndex, found: Words) -> dict[tuple[int, int], list[int]]:
+    """(text, template) to the first words of the windows that collide with one of the template."""
+    hashes, doc = shingles(found.hashes, SHINGLE), found.doc
+    places: dict[tuple[int, int], list[int]] = {}
+    for kind, table in index.bits.items():
+        span, stride, bands, _ = WINDOWS[kind]
+        starts = np.arange(0, max(0, len(hashes) - span + 1), stride)
+        starts = starts[doc[starts] == doc[starts + span + SHINGLE - 2]]
+        keys = signatures(hashes, starts, kind)
+        for b in range(bands):
+            for at in np.flatnonzero(table[(keys[:, b] & np.uint64((1 << 18) - 1)).astype(np.int64)]):
+                first, last = np.searchsorted(index.keys, keys[at, b]), np.searchsorted(index.keys, keys[at, b], side="right")
+                for t in index.owner[first:last]:
+                    places.setdefault((int(doc[starts[at]]), int(t)), []).append(int(starts[at]))
+    return places
 
 
 def scan_texts(index: TemplateIndex, texts: list[bytes]) -> list[tuple[int, str, float, int, int, int]]:
@@ -130,27 +154,15 @@ def scan_texts(index: TemplateIndex, texts: list[bytes]) -> list[tuple[int, str,
     Candidate places come from band collisions; containment is exact, over the text of the shingles around the
     place; the best place is returned, the first one among equals, and the number of separate places."""
     found = words(texts)
-    hashes = shingles(found.hashes, SHINGLE)
-    doc = found.doc
-    starts = np.arange(0, max(0, len(hashes) - SPAN + 1), STRIDE)
-    starts = starts[doc[starts] == doc[starts + SPAN + SHINGLE - 2]]
-    places: dict[tuple[int, int], list[int]] = {}
-    keys = signatures(hashes, starts)
-    for b in range(BANDS):
-        for at, t in _hits(index.key_bits, index.keys, index.key_owner, keys[:, b]):
-            places.setdefault((int(doc[starts[at]]), t), []).append(int(starts[at]))
-    whole = np.flatnonzero(doc[: len(hashes)] == doc[SHINGLE - 1 :]) if len(hashes) else np.zeros(0, np.int64)
-    for at, t in _hits(index.single_bits, index.single, index.single_owner, hashes[whole]):
-        places.setdefault((int(doc[whole[at]]), t), []).append(int(whole[at]))
     out = []
-    for (k, t), at in places.items():
+    for (k, t), at in candidates(index, found).items():
         want = index.shingles[t]
         reach = len(want) + SHINGLE
         best, count, beyond = (0.0, 0, 0), 0, int(found.first[k])
         for p in sorted(set(at)):
             if p < beyond:
                 continue
-            first, last = max(beyond, p - reach), min(int(found.first[k + 1]), p + reach + SPAN)
+            first, last = max(beyond, p - reach), min(int(found.first[k + 1]), p + reach + WINDOWS[0][0])
             spots = [q for q in range(first, last - SHINGLE + 1) if shingle_set(found, q, q + SHINGLE) <= want]
             have = len(shingle_set(found, first, last) & want) / len(want)
             if have >= CONTAINED:
@@ -163,14 +175,19 @@ def scan_texts(index: TemplateIndex, texts: list[bytes]) -> list[tuple[int, str,
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, template, containment, first_word, n_words, places): a row for each template that a text holds.
 
     Whole texts are scanned; nothing is shuffled.  A text holds a template if, around one place, it has CONTAINED
-    of the template's shingles of SHINGLE words (lower case, letters and digits).  Null and empty texts hold none;
-    repeated rows give repeated results; null ids are kept; further columns are ignored; an empty table gives an
-    empty table."""
-    index = docs.sparkSession.sparkContext.broadcast(index_of(templates or TEMPLATES))
+    of the template's shingles of SHINGLE words (lower case, letters and digits).  templates: names (license, a slash,
+    part) with their texts, as a dict or a table (template, text) of MOST_TEMPLATES rows at most; TEMPLATES if not
+    given.  Null and empty texts hold none; a very long text is scanned whole; of equally good places the first is
+    told; repeated rows give repeated results; null ids are kept; further columns, whatever their names, are ignored; an
+    empty table gives an empty table."""
+    ship(docs.sparkSession)
+    if isinstance(templates, DataFrame):
+        templates = {r["template"]: r["text"] for r in templates.select("template", "text").limit(MOST_TEMPLATES + 1).collect()}
+    index = docs.sparkSession.sparkContext.broadcast(index_of(TEMPLATES if templates is None else templates))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
