@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -34,3 +35,17 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null becomes the empty text."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
+
+
+def text_blocks(found: pd.Series, limit: int = BLOCK_BYTES) -> Iterator[list[str]]:
+    """The texts of a series, null as empty, in runs of about `limit` characters."""
+    part, total = [], 0
+    for x in found:
+        text = x if isinstance(x, str) else ""
+        if part and total + len(text) > limit:
+            yield part
+            part, total = [], 0
+        part.append(text)
+        total += len(text)
+    if part:
+        yield part

@@ -7,12 +7,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rawloom.llm.batches import blocks, texts
+from rawloom.llm.batches import blocks, text_blocks, texts
 from rawloom.llm.learning import sample_per_class
+from rawloom.session import discard, fresh, materialise, quoted, ship
 
 UNKNOWN = "und"
 #: Letters fall into this many classes: 0 what is no letter, 1 to 26 a to z, the others by a hash of the code point.
@@ -20,15 +22,14 @@ LETTERS = 64
 #: Lengths of the n-grams whose presence the kernel compares; every length counts alike.
 GRAMS = (1, 2, 3)
 OFFSETS = np.cumsum([0, *(LETTERS**p for p in GRAMS)])
-#: Training rows of each language, landmarks of each language, ridge.
-TRAIN, LANDMARKS, RIDGE = 400, 64, 1e-3
+#: Training rows of each language; landmarks of each language, and of all of them at most (one a language at least).
+TRAIN, LANDMARKS, MOST_LANDMARKS = 400, 64, 512
+RIDGE = 1e-3
 #: Windows scored by one matrix product.
 BATCH = 128
 #: A text is scored in windows of this many characters at most, equal in size, so that a foreign passage or sheer
 #: length does not blur the presence vector; the whole text's score is their mean.
 WINDOW = 800
-#: Windows of one training row: evenly spread over its whole text.
-ROW_WINDOWS = 3
 
 _CLASSES: list[np.ndarray] = []
 
@@ -102,20 +103,28 @@ def restored(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=OFFSETS[-1]).astype(bool)
 
 
-def fit_rows(rows: list[tuple[str, bytes]]) -> LanguageModel:
-    """Fit on (language, stored flags of a window); the first rows of each language are the landmarks.
+def similarities(flags: list[np.ndarray], columns: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Kernel values of windows and landmarks, by products of BATCH windows."""
+    made = [features(flags[i : i + BATCH], columns) @ landmarks for i in range(0, len(flags), BATCH)]
+    return np.concatenate(made) if made else np.zeros((0, landmarks.shape[1]), np.float32)
 
-    Rows are restored batch by batch: memory holds the landmarks and the kernel matrix, not all flags."""
-    classes = sorted({lang for lang, _ in rows})
-    if not classes:
-        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), 1.0)
-    marks = [restored(x) for c in classes for x in [x for lang, x in rows if lang == c][:LANDMARKS]]
-    columns = np.flatnonzero(np.logical_or.reduce(marks))
-    landmarks = features(marks, columns).T.copy()
-    target = np.array([[1.0 if lang == c else -1.0 for c in classes] for lang, _ in rows])
-    known = np.concatenate([features([restored(x) for _, x in rows[i : i + BATCH]], columns) @ landmarks for i in range(0, len(rows), BATCH)]).astype(np.float64)
+
+def mean_similarity(text: str, columns: np.ndarray, landmarks: np.ndarray) -> np.ndarray | None:
+    """The mean of the kernel values of all windows of a text, weighted by their letters; None without letters."""
+    total, letters, cut = np.zeros(landmarks.shape[1]), 0, windows(text)
+    for i in range(0, len(cut), BATCH):
+        part = cut[i : i + BATCH]
+        weight = np.array([np.count_nonzero(w) for w in part], np.float64)
+        total += weight @ similarities([presence(w) for w in part], columns, landmarks)
+        letters += weight.sum()
+    return total / letters if letters else None
+
+
+def fit_rows(classes: list[str], columns: np.ndarray, landmarks: np.ndarray, langs: list[str], known: np.ndarray) -> LanguageModel:
+    """Kernel ridge regression on one row (mean kernel values with the landmarks) for each training text."""
+    target = np.array([[1.0 if lang == c else -1.0 for c in classes] for lang in langs])
     square = landmarks.T.astype(np.float64) @ landmarks
-    left = known.T @ known + RIDGE * len(rows) * square + 1e-8 * np.trace(square) * np.eye(len(marks))
+    left = known.T @ known + RIDGE * len(langs) * square + 1e-8 * np.trace(square) * np.eye(len(square))
     weights = np.linalg.solve(left, known.T @ target)
     scores = known @ weights
     right = target.argmax(axis=1)
@@ -132,22 +141,51 @@ def fit_rows(rows: list[tuple[str, bytes]]) -> LanguageModel:
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on a bounded sample: about TRAIN rows of each language among the rows where `learn` holds.
 
-    Only presence flags, whose size does not depend on the text's, come to the driver."""
+    The sample is written to the shared folder once, so that the corpus is read for the counts of languages (two narrow
+    columns) and for the sample alone.  One window of each of the first LANDMARKS rows of a language (by a hash of the
+    id; fewer where there are more than MOST_LANDMARKS / LANDMARKS languages) comes to the driver as a landmark; then
+    each row's whole text is compared with the landmarks where it lies, and its mean kernel values come to the driver:
+    one vector a row, however long its text.  Rows with a null id, text or language teach nothing, nor do texts without
+    letters; equal texts teach the same, and rows that repeat count as often as they do; ties between rows of one hash
+    are ordered by text; without any row the model knows no language."""
+    ship(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = sample_per_class(rows, lang_col, id_col, TRAIN).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("rank"), F.col(text_col).alias("text"))
+    sample = materialise(chosen.where(F.col("text").rlike(r"\p{L}")))
+    classes = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    if not classes:
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), 1.0)
+    each = max(1, min(LANDMARKS, MOST_LANDMARKS // len(classes)))
+    first = sample.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("rank")), 1, each).alias("ranks"))
+    marked = sample.join(F.broadcast(first.select("lang", F.explode("ranks").alias("rank")).distinct()), ["lang", "rank"]).select("lang", "rank", "text")
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text"):
-            out = []
-            for lang, rank, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part, "text"), strict=True):
-                cut = windows(text)
-                spread = sorted({int(k) for k in np.linspace(0, len(cut) - 1, min(ROW_WINDOWS, len(cut)))}) if cut else []
-                out.extend((lang, rank, stored(flags)) for k in spread if (flags := presence(cut[k])).any())
-            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary()))]
-            yield pa.record_batch(columns, names=["lang", "rank", "flags"])
+            found = []
+            for rank, text in zip(part.column(1).to_pylist(), texts(part, "text"), strict=True):
+                cut = [w for w in windows(text) if np.any(w)]
+                found.append(stored(presence(cut[rank % len(cut)])) if cut else None)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["lang", "rank", "flags"])
+
+    made = [r for r in marked.mapInArrow(mark, "lang string, rank long, flags binary").collect() if r["flags"]]
+    made = sorted((r["lang"], r["rank"], bytes(r["flags"])) for r in made)
+    marks = [restored(x) for c in classes for x in [x for lang, _, x in made if lang == c][:each]]
+    if not marks:
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), 1.0)
+    columns = np.flatnonzero(np.logical_or.reduce(marks))
+    landmarks = features(marks, columns).T.copy()
+    shared = docs.sparkSession.sparkContext.broadcast((columns, landmarks))
 
-    found = sorted(chosen.mapInArrow(kernel, "lang string, rank long, flags binary").collect(), key=lambda r: (r["lang"], r["rank"], r["flags"]))
-    return fit_rows([(r["lang"], bytes(r["flags"])) for r in found])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text"):
+            found = [mean_similarity(text, *shared.value) for text in texts(part, "text")]
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float64()))], names=["lang", "rank", "known"])
+
+    rows_ = [r for r in sample.select("lang", "rank", "text").mapInArrow(compare, "lang string, rank long, known array<double>").collect() if r["known"] is not None]
+    rows_ = sorted((r["lang"], r["rank"], r["known"]) for r in rows_)
+    discard(sample)
+    shared.unpersist()
+    return fit_rows(classes, columns, landmarks, [lang for lang, _, _ in rows_], np.array([x for _, _, x in rows_]))
 
 
 def predict_texts(model: LanguageModel, found: list[str]) -> tuple[list[str], np.ndarray]:
@@ -171,15 +209,23 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """All columns of docs, with lang_pred and lang_score, from the whole text alone.
 
     `und` with score 0 stands for a null text, one without letters, and every text where no language was learnt.
-    Equal texts get the same language; rows repeat as in the input; columns of docs that are called lang_pred or
-    lang_score are replaced; an empty table gives an empty table."""
+    Equal texts get the same language; of languages with equal scores the first in the alphabet is predicted; a very
+    long text is scored window by window; rows repeat as in the input; columns of docs that are called lang_pred or
+    lang_score are replaced, all others, whatever their names and types, never leave the JVM; an empty table gives an
+    empty table."""
+    ship(docs.sparkSession)
     kept = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, text_col):
-            langs, scores = predict_texts(shared.value, texts(part, text_col))
-            yield pa.record_batch([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "lang_score"])
 
-    return kept.mapInArrow(kernel, f"{fields}, lang_pred string, lang_score double")
+    @F.pandas_udf("lang_pred string, lang_score double")
+    def predict(found: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in found:
+            out = [predict_texts(shared.value, part) for part in text_blocks(series)]
+            langs = [x for names, _ in out for x in names]
+            scores = np.concatenate([x for _, x in out]) if out else np.zeros(0)
+            yield pd.DataFrame({"lang_pred": langs, "lang_score": scores})
+
+    (name,) = fresh(kept, "_found")
+    # Not to be moved below a filter on its results, where it would run a second time.
+    made = kept.withColumn(name, predict.asNondeterministic()(F.col(quoted(text_col))))
+    return made.select(*[F.col(quoted(c)) for c in kept.columns], F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.lang_score").alias("lang_score"))
