@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rawloom.llm.batches import blocks, raw
 from rawloom.llm.learning import labelled, sample_per_class
+from rawloom.session import ship
 
 #: Texts are compressed in pieces of this many bytes, so that a long text does not teach the compressor itself.
 PIECE = 1024
@@ -22,8 +23,6 @@ SHRINK = 64
 DICTIONARY, LEVEL = 96 << 10, 3
 #: Labelled rows of each class for the dictionaries, and for the calibration; the two sets share no row.
 DICT_ROWS, CALIBRATION_ROWS = 600, 1500
-#: Pieces that one row gives to a dictionary: evenly spread over its whole text.
-ROW_PIECES = 16
 
 
 def cut(text: bytes) -> list[bytes]:
@@ -97,8 +96,12 @@ def dictionary(pieces: list[bytes]) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
     """Fit on bounded samples of the labelled rows where `learn` holds: DICT_ROWS and CALIBRATION_ROWS of each class.
 
-    The sampled ids are bounded by these parameters and so can be broadcast; only pieces (ROW_PIECES of PIECE
-    bytes a row) and size differences come to the driver."""
+    The sampled ids are bounded by these parameters and so can be broadcast; the whole texts of the dictionary rows,
+    in pieces, and the size differences of the others come to the driver.  Rows with a null id or label, and ids with
+    both labels, teach nothing, a null text is empty; a very long text gives all its pieces; equal texts teach the same;
+    ties in the order of pieces are equal pieces; where a class has too little text to train a dictionary on, its text
+    itself, the last DICTIONARY bytes, is the dictionary."""
+    ship(docs.sparkSession)
     known = labelled(labels, label, id_col, learn)
     chosen = sample_per_class(known, label, id_col, DICT_ROWS + CALIBRATION_ROWS, salt=4)
     share = DICT_ROWS / (DICT_ROWS + CALIBRATION_ROWS)
@@ -110,8 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
         for part in blocks(batches, "text"):
             out = []
             for y, text in zip(part.column(0).to_pylist(), raw(part, "text"), strict=True):
-                pieces = cut(text)
-                out.extend((y, pieces[k]) for k in sorted({int(k) for k in np.linspace(0, len(pieces) - 1, min(ROW_PIECES, len(pieces)))} if pieces else ()))
+                out.extend((y, piece) for piece in cut(text))
             yield pa.record_batch([pa.array([y for y, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["y", "piece"])
 
     pieces = sorted((r["y"], bytes(r["piece"])) for r in rows.where("book").select("y", F.col(text_col).alias("text")).mapInArrow(spread, "y int, piece binary").collect())
@@ -137,8 +139,9 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
     """(id, score, difference) of every whole text.
 
     score is the probability of label 1; a null text counts as empty, whose difference is 0.  Equal texts have
-    equal scores; repeated rows, null ids and further columns have no effect; an empty table gives an empty one.
-    Without labelled rows every score is 0.5."""
+    equal scores; a very long text is compressed piece by piece; repeated rows, null ids and further columns, whatever
+    their names, have no effect; an empty table gives an empty one.  Without labelled rows every score is 0.5."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
