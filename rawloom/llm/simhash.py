@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rawloom.llm.batches import blocks, raw
 from rawloom.llm.components import connected_components
-from rawloom.session import fresh, materialise
+from rawloom.session import fresh, materialise, quoted, ship
 
 BITS = 64
 #: Fingerprints at this Hamming distance or less are linked.
@@ -45,6 +45,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed long; a null text counts as empty."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +122,8 @@ def forest(members: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, i
 
 #: Runs of up to this many fingerprints are compared all at once, in numpy.
 SHORT_RUN = 6
+#: An anchor with more replicas than this is dealt anew, by the bytes of the other half.
+HOT_ANCHOR = 2048
 
 
 def _run_edges(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +183,14 @@ def links(nodes: DataFrame) -> DataFrame:
             anchor, fp = (np.concatenate(x) for x in zip(*waiting, strict=True))
             yield from out(anchor, fp)
 
-    held = nodes.select("fp").mapInArrow(replicate, "anchor long, fp long")
-    dealt = held.repartition("anchor").sortWithinPartitions("anchor")
+    ship(nodes.sparkSession)
+    held = materialise(nodes.select("fp").mapInArrow(replicate, "anchor long, fp long"))
+    hot = materialise(held.groupBy("anchor").count().where(F.col("count") > HOT_ANCHOR).select("anchor"))
+    # Two fingerprints that meet at an anchor differ in at most 3 bits of the other half, so one of its 4 bytes is equal.
+    other = F.when(F.shiftrightunsigned("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    parts = F.array(*[F.xxhash64("anchor", F.lit(k), F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255).cast("long"))) for k in range(4)])
+    split = held.join(hot, "anchor").select(F.explode(parts).alias("anchor"), "fp")
+    dealt = held.join(hot, "anchor", "left_anti").unionAll(split).repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(compare, "src long, dst long").distinct()
 
 
@@ -190,8 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Anchor-point covering: a covering code supplies the anchors, each distinct fingerprint is replicated to
     every anchor within covering radius plus threshold, and fingerprints are compared per anchor alone.
-    Copies collapse to one fingerprint before replication; a dense anchor makes a spanning forest, never all
-    its pairs.  component_id is the smallest id that links reach.  Null texts count as empty; texts without
+    Copies collapse to one fingerprint before replication; an anchor of more than HOT_ANCHOR fingerprints is dealt
+    anew by the bytes of the other half, one of which two neighbours share, and a dense run makes a spanning forest,
+    never all its pairs.  Very long texts are hashed whole, in bounded steps.  component_id is the smallest id that links reach.  Null texts count as empty; texts without
     words have fingerprint zero, linked like any other; rows repeat as they do in the input; a row whose id is
     null is kept and takes the smallest id of its component (null if there is none); other columns, whatever
     their names, are ignored; an empty table gives an empty table.
@@ -210,9 +220,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row, that of the smallest id and then hash of its text, of each component; rows whose id is null
     stay.
 
-    Rows of one id with different texts are told apart; rows that repeat with the same id and text leave one."""
-    own, name = fresh(docs, "_own", "_first")
-    keyed = docs.where(F.col(id_col).isNotNull()).withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")))
-    first = near_duplicates(keyed, own, text_col).select(F.col("component_id").alias(name)).distinct()
-    kept = keyed.join(first, F.col(own) == F.col(name), "left_semi").dropDuplicates([own]).drop(own)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    Rows of one id with different texts are told apart; rows that repeat with the same id and text leave one.  What goes
+    is written first, as hashes alone: where that is little it is broadcast, and no text moves.  Null and empty texts are
+    near-duplicates of one another; very long texts count whole; an empty table gives an empty table; further columns are
+    kept whatever their names."""
+    (own,) = fresh(docs, "_own")
+    keyed = docs.withColumn(own, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))))
+    found = near_duplicates(keyed.where(F.col(own).isNotNull()).select(own, text_col), own, text_col)
+    rows = materialise(found.groupBy(F.col(own).alias("own")).agg(F.count("*").alias("n"), F.min(F.col("component_id") == F.col(own)).alias("first")))
+    gone = materialise(rows.where("not first").select(F.col("own").alias(own)))
+    again = materialise(rows.where("first and n > 1").select(F.col("own").alias(own)))
+    kept = keyed.join(gone, own, "left_anti")
+    single, repeated = kept.join(again, own, "left_anti"), kept.join(again, own, "left_semi")
+    names = [F.col(quoted(c)) for c in docs.columns]
+    return single.select(names).unionByName(repeated.dropDuplicates([own]).select(names))
