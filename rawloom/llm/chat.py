@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rawloom.session import materialise
+from rawloom.session import materialise, ship
 
 ROLES = ("system", "user", "assistant", "tool")
 #: States: 0 before the first turn, 1 + k after a turn of ROLES[k].  Code len(ROLES) is any other role, or none.
@@ -97,14 +97,14 @@ def role_code(role: Column) -> Column:
     return F.when(role.isNull(), OTHER).otherwise(code).cast("int")
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], start, step, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Run step over rows sorted by conversation; its state starts anew at each one and is all that is kept."""
+def _streamed(batches: Iterator[pa.RecordBatch], key: list[str], step: Callable, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Run step over rows sorted by key; its state, none at the first row of a key, is all that is kept."""
     last, state = None, None
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            if state is None or row["conv"] != last:
-                last, state = row["conv"], start()
+            if (at := tuple(row[c] for c in key)) != last:
+                last, state = at, None
             state, made = step(state, row)
             out.append(made)
         if out:
@@ -117,9 +117,10 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     A conversation is legal if its roles follow FOLLOWS and it ends with LAST.  Turns may be merged into the turn
     before, given another role, or preceded (the last one also followed) by inserted empty turns; a dynamic program
     over the automaton of legal turns finds the cheapest way, with the smallest states among equals.  A turn is a
-    min-plus matrix, so a conversation of any length is cut into runs that are multiplied apart from each other;
-    only one 5 x 5 matrix for each run is then scanned in order, forwards for the costs and backwards for the
-    states, and every run is traced by itself.
+    min-plus matrix, so a conversation of any length is cut into runs that are multiplied apart from each other.  The
+    runs are dealt in ranges; of each range one 5 x 5 matrix is scanned in order, forwards for the costs and backwards
+    for the states, then the runs within each range, and every run is traced by itself: no task takes a whole
+    conversation.
 
     Columns: conv_id, pos (0 for the first turn), turn, role, action (keep, relabel, merge, relabel+merge),
     new_role, inserted (empty turns put before it), appended (put after the last one), cost, copies, piece.  The
@@ -128,7 +129,10 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     Turns are ordered by turn number, null first, and by a hash of role and text where numbers are equal; rows that
     repeat a turn exactly are one turn (copies tells how many).  Rows without a conversation id form one
     conversation.  Unknown and null roles get a role; a null or empty text is an empty turn, which is repaired like
-    any other.  Further columns are ignored; an empty table gives an empty table."""
+    any other; a very long text is one turn, carried whole.  The marks OPEN and CLOSE in a text are rendered with a
+    backslash after their first character (and a backslash there with another), so that a rendering can be read back.
+    Further columns are ignored whatever their names; an empty table gives an empty table."""
+    ship(turns.sparkSession)
     conv, turn = F.col(conv_col), F.col(turn_col)
     keyed = turns.select(
         F.coalesce(conv.cast("string"), F.lit("")).alias("conv"),
@@ -146,7 +150,6 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     dealt = distinct.join(split, ["conv", "turn_no"], "left").select("conv", "run", F.when(F.col("bits").isNotNull(), F.col("turn_no")).otherwise(0).alias("part_turn"), part.alias("part"), "turn_no", "h", "code")
     chunks = materialise(dealt.groupBy("conv", "run", F.col("part_turn").alias("first_turn"), "part").agg(F.array_sort(F.collect_list(F.struct("turn_no", "h", "code"))).alias("turns")))
     place = ["conv", "run", "first_turn", "part"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
     own = "conv string, run long, first_turn long, part long"
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,32 +158,71 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
             made = [product(c).ravel().tolist() for c in rows]
             yield pa.record_batch([*batch.columns[:4], pa.array(list(map(len, rows)), pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=[*place, "n", "m"])
 
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def start() -> tuple[np.ndarray, int]:
-            return np.array([0, *[FAR] * (STATES - 1)], np.int64), 0
-
-        def step(state: tuple[np.ndarray, int], row: dict) -> tuple:
-            costs, base = state
-            after = np.minimum((costs[:, None] + np.array(row["m"]).reshape(STATES, STATES)).min(axis=0), FAR)
-            return (after, base + row["n"]), (*(row[c] for c in place), row["m"], costs.tolist(), after.tolist(), base)
-
-        yield from _streamed(batches, start, step, [*place, "m", "before", "after", "base"], [*kinds, *[pa.list_(pa.int64())] * 3, pa.int64()])
-
-    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def step(leave: int, row: dict) -> tuple:
-            last = leave < 0
-            if last:
-                leave = int((np.array(row["after"]) + ENDING).argmin())
-            entry = int((np.array(row["before"]) + np.array(row["m"]).reshape(STATES, STATES)[:, leave]).argmin())
-            return entry, (*(row[c] for c in place), entry, leave, last, row["base"])
-
-        yield from _streamed(batches, lambda: -1, step, [*place, "entry", "leave", "last", "base"], [*kinds, pa.int32(), pa.int32(), pa.bool_(), pa.int64()])
+    def scan(rows: DataFrame, key: list[str], order: list[str], bounds: DataFrame | None) -> DataFrame:
+        """Entry and leaving states of every row (key and order columns, n, m), with base, the turns before it, and last.
+
+        bounds: for each key the costs before it, the state to leave it in, the turns before it and whether it is the
+        conversation's end; none where a key is a whole conversation.  Rows are scanned in order, forwards for the costs
+        and backwards for the states; all that is kept is one vector."""
+        names = key + [c for c in order if c not in key]
+        kinds = [pa.string() if c == "conv" else pa.int64() for c in names]
+        own = ", ".join(f"{c} {'string' if c == 'conv' else 'long'}" for c in names)
+        outer = rows.withColumns({"e_before": F.lit(None).cast("array<long>"), "e_leave": F.lit(-1), "e_base": F.lit(0).cast("long"), "e_last": F.lit(True)}) if bounds is None else rows.join(bounds, key)
+
+        def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def step(state: tuple | None, row: dict) -> tuple:
+                costs, base = state or (np.array(row["e_before"] or [0, *[FAR] * (STATES - 1)], np.int64), row["e_base"])
+                after = np.minimum((costs[:, None] + np.array(row["m"]).reshape(STATES, STATES)).min(axis=0), FAR)
+                return (after, base + row["n"]), (*(row[c] for c in names), row["m"], costs.tolist(), after.tolist(), base, row["e_leave"], row["e_last"])
+
+            yield from _streamed(batches, key, step, [*names, "m", "before", "after", "base", "e_leave", "e_last"], [*kinds, *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int32(), pa.bool_()])
+
+        def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def step(leave: int | None, row: dict) -> tuple:
+                last = leave is None
+                if last:
+                    leave = row["e_leave"] if row["e_leave"] >= 0 else int((np.array(row["after"]) + ENDING).argmin())
+                entry = int((np.array(row["before"]) + np.array(row["m"]).reshape(STATES, STATES)[:, leave]).argmin())
+                return entry, (*(row[c] for c in names), row["before"], entry, leave, last and row["e_last"], row["base"])
+
+            yield from _streamed(batches, key, step, [*names, "before", "entry", "leave", "last", "base"], [*kinds, pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.bool_(), pa.int64()])
+
+        placed = outer.select(*names, "n", "m", "e_before", "e_leave", "e_base", "e_last").repartition(*key).sortWithinPartitions(*key, *order)
+        costed = placed.mapInArrow(forward, f"{own}, m array<long>, before array<long>, after array<long>, base long, e_leave int, e_last boolean")
+        turned = costed.repartition(*key).sortWithinPartitions(*[F.col(c).desc() for c in [*key, *order]])
+        return turned.mapInArrow(backward, f"{own}, before array<long>, entry int, leave int, last boolean, base long")
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The products of runs of rows of one conversation and range: one row each, however many rows it has."""
+        at, total, n = None, None, 0
+        types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        out: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                m = np.array(row["m"], np.int64).reshape(STATES, STATES)
+                if at == (row["conv"], row["range"]):
+                    total, n = np.minimum((total[:, :, None] + m[None]).min(axis=1), FAR), n + row["n"]
+                else:
+                    if at is not None:
+                        out.append((*at, n, total.ravel().tolist()))
+                    at, total, n = (row["conv"], row["range"]), m, row["n"]
+            if len(out) > 1000:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["conv", "range", "n", "m"])
+                out = []
+        if at is not None:
+            out.append((*at, n, total.ravel().tolist()))
+        if out:
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["conv", "range", "n", "m"])
 
     products = chunks.select(*place, F.transform("turns", lambda t: t["code"]).alias("codes")).mapInArrow(multiply, f"{own}, n long, m array<long>")
-    placed = products.repartition("conv").sortWithinPartitions(*place)
-    costed = placed.mapInArrow(forward, f"{own}, m array<long>, before array<long>, after array<long>, base long")
-    turned = costed.repartition("conv").sortWithinPartitions(*[F.col(c).desc() for c in place])
-    bounds = turned.mapInArrow(backward, f"{own}, entry int, leave int, last boolean, base long")
+    # Ranges of rows in order: a conversation of any length is dealt over as many as it fills, and only one matrix of
+    # each range of it is scanned in one task.  Written, so that a range is the same rows for all that follows.
+    ranged = products.repartitionByRange(*place).withColumn("range", F.spark_partition_id().cast("long"))
+    ranged = materialise(ranged)
+    sums = ranged.repartition("conv", "range").sortWithinPartitions("conv", "range", *place[1:]).mapInArrow(join_up, "conv string, range long, n long, m array<long>")
+    outer = scan(sums, ["conv"], ["range"], None)
+    bounds = outer.select("conv", "range", F.col("before").alias("e_before"), F.col("leave").alias("e_leave"), F.col("base").alias("e_base"), F.col("last").alias("e_last"))
+    bounds = scan(ranged, ["conv", "range"], place[1:], bounds).select(*place, "entry", "leave", "last", "base")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +246,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     whole = keyed.groupBy("conv", "turn_no", "h").agg(F.first("conv_id").alias("conv_id"), F.first("turn").alias("turn"), F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("copies"))
     full = whole.join(decided, ["conv", "turn_no", "h"])
     empty = lambda roles: F.array_join(F.transform(roles, lambda r: F.concat(F.lit(OPEN), r, F.lit("\n" + CLOSE))), "")
-    text = F.coalesce("text", F.lit(""))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*\|im_(?:start|end)\|>)", r"<\\$1")
     head = F.concat(F.when(F.col("pos") > 0, CLOSE).otherwise(""), empty(F.col("inserted")), F.lit(OPEN), F.col("new_role"), F.lit("\n"), text)
     body = F.when(F.col("action").endswith("merge"), F.concat(F.lit(JOINT), text)).otherwise(head)
     piece = F.concat(body, F.when(F.col("last"), F.concat(F.lit(CLOSE), empty(F.col("appended")))).otherwise(""))
