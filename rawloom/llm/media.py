@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rawloom.llm.batches import blocks, raw
+from rawloom.session import ship
 
 #: A payload is a positive multiple of this many bytes, filled up with PAD.
 UNIT, PAD = 576, b"\xff"
@@ -142,9 +143,11 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     media: a WAV file whose 8-bit samples are the padded UTF-8 bytes.  payload: the samples read back from it.
     clips: an Arrow stream of fixed-shape tensors [64, 40] of log-mel energies (hundredths of log10, int16) with
     their time spans.  segments: spans of hysteresis energy segmentation.  Everything is a function of the text
-    alone; equal texts have equal rows.  A null text counts as empty (one unit of padding); null ids and
-    repeated rows are kept; further columns are ignored; an empty table gives an empty table.
+    alone; equal texts have equal rows.  A null text counts as empty (one unit of padding); a very long text is analysed
+    whole, in bounded steps; frames at equal energies are silence; null ids and repeated rows are kept; further columns,
+    whatever their names, are ignored; an empty table gives an empty table.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     seconds = HOP / (RATE * UP / DOWN)
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))

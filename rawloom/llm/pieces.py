@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rawloom.llm.batches import blocks, texts
+from rawloom.session import ship
 
 #: The white-space marker of SentencePiece; in a text it means the same as a space.
 MARK = "▁"
@@ -141,8 +142,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     loaded), so each distinct marked word is segmented once by the library and its ids are joined back by
     position.  The table belongs to a worker and is bounded; nothing is shuffled.  A null text counts as empty
     and has no ids; U+2581 in a text is a space, as in the library; repeated rows, null ids and further columns
-    pass without effect; an empty table gives an empty table.
+    pass without effect; a very long text is cut at spaces into segments, which are encoded in turn; equal texts get equal
+    ids; an empty table gives an empty table.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
