@@ -247,10 +247,13 @@ def pack12(a: Column | str, b: Column | str) -> Column:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Make the kernels SQL functions of a session; returns their names."""
-    from pyspark.sql.functions import pandas_udf
+    """Make the kernels SQL functions of a session; returns the names of the scalar ones.
 
-    from rawloom.functions import blake3, inspect, ljpeg, samples
+    raw_parse is a table function.  What can't be parsed or changed gives null, or no row."""
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    from rawloom.functions import blake3, codec, develop, inspect, ljpeg, samples, tiff
+    from rawloom.functions.errors import FrameError
 
     @pandas_udf("string")
     def raw_blake3(data: pd.Series) -> pd.Series:
@@ -279,7 +282,42 @@ def register(spark: SparkSession) -> list[str]:
         made = [ljpeg.decode(b) for b in data]
         return pd.DataFrame([{"width": d.width, "height": d.height, "components": d.components, "precision": d.precision, "samples": d.samples.astype("int32"), "consumed": d.consumed} for d in made])
 
-    found = {"raw_blake3": raw_blake3, "raw_inspect": raw_inspect, "raw_unpack": raw_unpack, "raw_pack": raw_pack, "ljpeg_encode": ljpeg_encode, "ljpeg_decode": ljpeg_decode}
+    def guarded(change, data):
+        try:
+            return None if data is None else change(bytes(data))
+        except FrameError:
+            return None
+
+    @pandas_udf("binary")
+    def raw_compress(data: pd.Series) -> pd.Series:
+        return pd.Series([guarded(codec.compress_bytes, b) for b in data], dtype=object)
+
+    @pandas_udf("binary")
+    def raw_decompress(data: pd.Series) -> pd.Series:
+        return pd.Series([guarded(codec.decompress_bytes, b) for b in data], dtype=object)
+
+    @pandas_udf("struct<image:binary,width:long,height:long>")
+    def raw_preview(data: pd.Series) -> pd.DataFrame:
+        made = [guarded(lambda b: codec.preview(tiff.parse(b)), b) or (None, None, None) for b in data]
+        return pd.DataFrame(made, columns=["image", "width", "height"], dtype=object)
+
+    @pandas_udf("struct<image:binary,width:long,height:long>")
+    def raw_develop(data: pd.Series) -> pd.DataFrame:
+        made = [guarded(lambda b: develop.render(tiff.parse(b)), b) or (None, None, None) for b in data]
+        return pd.DataFrame([(None if x is None else x.tobytes(), w, h) for x, w, h in made], columns=["image", "width", "height"], dtype=object)
+
+    @udtf(returnType="ifd_id int, parent_id int, edge string, tag int, type_code int, count long, canon binary")
+    class RawParse:
+        """A row for each entry of each directory of a file; none for what is no frame."""
+
+        def eval(self, data: bytes):
+            frame = guarded(tiff.parse, data)
+            for k, d in enumerate(frame.directories if frame else ()):
+                for e in d.entries:
+                    yield k, d.parent, d.edge, e.tag, e.kind, e.count, tiff.canonical(e, frame.endian)
+
+    spark.udtf.register("raw_parse", RawParse)
+    found = {"raw_compress": raw_compress, "raw_decompress": raw_decompress, "raw_preview": raw_preview, "raw_develop": raw_develop, "raw_blake3": raw_blake3, "raw_inspect": raw_inspect, "raw_unpack": raw_unpack, "raw_pack": raw_pack, "ljpeg_encode": ljpeg_encode, "ljpeg_decode": ljpeg_decode}
     for name, function in found.items():
         spark.udf.register(name, function)
     return list(found)

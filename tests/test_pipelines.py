@@ -8,7 +8,8 @@ from rawloom import cli
 from rawloom.functions import codec, columns, tiff
 from rawloom.functions.errors import FrameError
 from rawloom.operators import compare, imaging, residuals
-from rawloom.plans import pipelines
+from rawloom.plans import pipelines, queries
+from rawloom.session import ship
 from rawloom.sources import coverage, frames
 from tests import frames_data as made
 
@@ -171,3 +172,16 @@ def test_demosaic_equals_the_kernel(spark):
     want = develop.demosaic(levels.astype(np.float32), columns.RGGB)
     for r in imaging.demosaic(cells).collect():
         assert np.allclose([r["r"], r["g"], r["b"]], want[r["y"], r["x"]], rtol=1e-5)
+
+
+def test_sql_functions(spark):
+    """Parse, compress, preview and develop from SQL; what is no frame gives null or no row."""
+    ship(spark)
+    columns.register(spark)
+    content = queries.frame_bytes(list(range(64)), width=16)
+    spark.createDataFrame([(0, content), (1, b"nothing"), (2, None)], "k int, content binary").createOrReplaceTempView("some_files")
+    made = spark.sql("select k, raw_decompress(raw_compress(content)) = content as same, raw_preview(content).width as w, raw_develop(content) as d from some_files order by k").collect()
+    assert [(r["same"], r["w"]) for r in made] == [(True, 4), (None, None), (None, None)]
+    assert (made[0]["d"]["width"], made[0]["d"]["height"], len(made[0]["d"]["image"])) == (16, 4, 256) and made[1]["d"]["image"] is None
+    tags = spark.sql("select k, ifd_id, tag from some_files, lateral raw_parse(content)").collect()
+    assert {(r["k"], r["ifd_id"]) for r in tags} == {(0, 0), (0, 1)} and (0, 1, 50717) in {tuple(r) for r in tags}
