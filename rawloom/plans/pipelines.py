@@ -17,7 +17,7 @@ from rawloom.functions.blake3 import Blake3, blake3
 from rawloom.functions.columns import detect_format, ratio
 from rawloom.functions.errors import FrameError
 from rawloom.operators import compare
-from rawloom.session import ship
+from rawloom.session import materialise, ship
 from rawloom.sources import frames
 
 STATS = "ord int, input string, output string, input_bytes long, output_bytes long, error_code string, error string"
@@ -226,3 +226,102 @@ def map_contents(contents: DataFrame, change: Callable[[bytes], bytes]) -> DataF
                 yield pa.record_batch([pa.array([path]), *(pa.array([v], t) for v, t in zip(row, (pa.binary(), pa.string(), pa.string()), strict=True))], names=["path", "content", "error_code", "error"])
 
     return contents.select("path", "content").mapInArrow(kernel, "path string, content binary, error_code string, error string")
+
+
+PLAN = "path string, ifd_id int, precision int, components int, endian string, sizes array<struct<width:int,height:int>>, error_code string, error string"
+CODED = "path string, ifd_id int, seg_index int, coded binary, error_code string, error string"
+KEYS = ["path", "ifd_id", "seg_index"]
+
+
+def _plan_rows(frame: tiff.Frame, forward: bool) -> list[dict]:
+    """What has to be coded: for each directory of a frame that is concerned the shape of its segments."""
+    out = []
+    for k, d in enumerate(frame.directories):
+        if codec._below_pointer(frame, k):
+            continue
+        if forward and (entry := d.get(codec.MARKER_TAG)) and not codec.marked(entry, frame.endian):
+            raise FrameError("MarkerCollision", f"tag {codec.MARKER_TAG:#06x}, which marks compressed images, has a value of another origin")
+        if forward:
+            if found := codec.geometry(d, frame.endian):
+                sizes = [codec.segment_size(d, found, i) for i in range(len(d.segments))]
+                out.append({"ifd_id": k, "precision": found.precision, "components": found.components, "sizes": [{"width": w, "height": h} for w, h in sizes]})
+        elif d.segments is not None and codec.is_compressed(d, frame.endian):
+            out.append({"ifd_id": k, "precision": 0, "components": 0, "sizes": [{"width": 0, "height": 0}] * len(d.segments)})
+    if not out:
+        raise FrameError("NothingToCompress", "the frame has no uncompressed image") if forward else FrameError("NothingToDecompress", "the frame has no image that this library compressed")
+    return [r | {"endian": frame.endian} for r in out]
+
+
+def code_segments(contents: DataFrame, forward: bool = True) -> DataFrame:
+    """(path, content, error_code, error): frames compressed (or decompressed), each segment in a task of its own choosing.
+
+    Frames are parsed into directories and segments; one row for each segment is dealt by path, directory and place,
+    coded, and when compressing decoded again and compared; the results are joined back on the same keys and a file is put
+    together from its directories.  So one large frame keeps all cores busy.  The bytes are those of
+    codec.compress_bytes() and codec.decompress_bytes()."""
+    ship(contents.sparkSession)
+    directories = materialise(frames.parse(contents))
+    good = directories.where("error_code is null")
+    bare = good.withColumn("segments", F.transform("segments", lambda _: F.lit(b"")))
+    plan_schema = pa.schema([("path", pa.string()), ("ifd_id", pa.int32()), ("precision", pa.int32()), ("components", pa.int32()), ("endian", pa.string()), ("sizes", pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32())]))), ("error_code", pa.string()), ("error", pa.string())])
+
+    def plan(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        try:
+            made = [{"path": rows[0]["path"], **r} for r in _plan_rows(frames.frame_of(rows), forward)]
+        except FrameError as e:
+            made = [{"path": rows[0]["path"], "error_code": e.code, "error": e.message}]
+        return pa.Table.from_pylist(made, schema=plan_schema)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("ifd_id", pa.int32()), ("seg_index", pa.int32()), ("coded", pa.binary()), ("error_code", pa.string()), ("error", pa.string())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = {c: row[c] for c in KEYS}
+                try:
+                    data, endian = bytes(row["bytes"]), row["endian"]
+                    if forward:
+                        out["coded"] = codec.encode_segment(data, codec.Geometry(row["precision"], row["components"], 0, 0), row["width"], row["height"], endian)
+                        if codec.decode_segment(out["coded"], endian) != data:
+                            raise FrameError("RoundTrip", f"decoded again, segment {row['seg_index']} has other bytes")
+                    else:
+                        out["coded"] = codec.decode_segment(data, endian)
+                except FrameError as e:
+                    out |= {"coded": None, "error_code": e.code, "error": e.message}
+                yield pa.RecordBatch.from_pylist([out], schema=schema)
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["ifd_id"])
+        frame = frames.frame_of(rows)
+        for d, row in zip(frame.directories, rows, strict=True):
+            if row["coded_here"] and forward:
+                d.put(tiff.make(tiff.COMPRESSION, tiff.SHORT, [codec.LOSSLESS_JPEG], frame.endian))
+                d.put(tiff.make(codec.MARKER_TAG, tiff.LONG, [codec.MARKER_VALUE], frame.endian))
+            elif row["coded_here"]:
+                d.put(tiff.make(tiff.COMPRESSION, tiff.SHORT, [codec.UNCOMPRESSED], frame.endian))
+                d.remove(codec.MARKER_TAG)
+        return pa.table({"path": pa.array([rows[0]["path"]], pa.string()), "content": pa.array([tiff.serialise(frame)], pa.binary())})
+
+    plans = materialise(bare.groupBy("path").applyInArrow(plan, PLAN))
+    segments = frames.segments(good)
+    shape = F.get("sizes", F.col("seg_index"))
+    jobs = segments.join(plans.where("error_code is null"), ["path", "ifd_id"]).select(*KEYS, "bytes", "precision", "components", "endian", shape["width"].alias("width"), shape["height"].alias("height"))
+    coded = materialise(jobs.repartition(*KEYS).mapInArrow(code, CODED))
+    errors = directories.where("error_code is not null").select("path", "error_code", "error").unionAll(plans.where("error_code is not null").select("path", "error_code", "error"))
+    first = F.min(F.struct("ifd_id", "seg_index", "error_code", "error")).alias("e")
+    errors = errors.unionAll(coded.where("error_code is not null").groupBy("path").agg(first).select("path", "e.error_code", "e.error"))
+    whole = segments.join(coded.where("error_code is null").drop("error_code", "error"), KEYS, "left").select(*KEYS, F.coalesce("coded", "bytes").alias("bytes"))
+    lists = whole.groupBy("path", "ifd_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_index", "bytes"))), lambda s: s["bytes"]).alias("made"))
+    changed = plans.where("error_code is null").select("path", "ifd_id", F.lit(True).alias("coded_here"))
+    joined = good.join(lists, ["path", "ifd_id"], "left").join(changed, ["path", "ifd_id"], "left").join(errors.select("path"), "path", "left_anti")
+    joined = joined.withColumn("segments", F.when(F.col("segments").isNotNull(), F.coalesce("made", "segments"))).drop("made")
+    files = joined.groupBy("path").applyInArrow(finish, "path string, content binary")
+    nothing = F.lit(None).cast("string")
+    return files.select("path", "content", nothing.alias("error_code"), nothing.alias("error")).unionAll(errors.select("path", F.lit(None).cast("binary").alias("content"), "error_code", "error"))
+
+
+def verify_segments(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, ifd_id, seg_index): segments of parsed frames (path, ifd_id, seg_index, bytes) that are not the same, or are on
+    one side alone."""
+    a, b = before.withColumnRenamed("bytes", "a"), after.withColumnRenamed("bytes", "b")
+    return a.join(b, KEYS, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(*KEYS)

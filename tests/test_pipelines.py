@@ -185,3 +185,19 @@ def test_sql_functions(spark):
     assert (made[0]["d"]["width"], made[0]["d"]["height"], len(made[0]["d"]["image"])) == (16, 4, 256) and made[1]["d"]["image"] is None
     tags = spark.sql("select k, ifd_id, tag from some_files, lateral raw_parse(content)").collect()
     assert {(r["k"], r["ifd_id"]) for r in tags} == {(0, 0), (0, 1)} and (0, 1, 50717) in {tuple(r) for r in tags}
+
+
+def test_segments_are_coded_by_themselves(spark):
+    """The same bytes and errors as file by file, forwards and back; segments equal on both sides of the way."""
+    files = {"a.dng": tiff.serialise(made.gradient()), "b.dng": tiff.serialise(made.rich("Big")), "c.dng": tiff.serialise(made.tiled()), "d.dng": b"nothing", "e.dng": queries.frame_bytes(list(range(64)), width=4)}
+    df = spark.createDataFrame(list(files.items()), "path string, content binary")
+    whole = {r["path"]: r for r in pipelines.map_contents(df, lambda b: codec.compress_bytes(b)).collect()}
+    packed = pipelines.code_segments(df).collect()
+    assert {r["path"]: (r["content"], r["error_code"]) for r in packed} == {p: (r["content"], r["error_code"]) for p, r in whole.items()}
+    kept = spark.createDataFrame([(r["path"], r["content"]) for r in packed if r["content"]], "path string, content binary")
+    back = pipelines.code_segments(kept, forward=False)
+    assert {r["path"]: r["content"] for r in back.collect()} == {r["path"]: codec.decompress_bytes(r["content"]) for r in kept.collect()}
+    assert [r["error_code"] for r in pipelines.code_segments(kept).collect()] == ["NothingToCompress"] * kept.count()
+    before = frames.segments(frames.parse(df.where("path <> 'd.dng'")))
+    assert pipelines.verify_segments(before, frames.segments(frames.parse(back.select("path", "content")))).count() == 0
+    assert pipelines.verify_segments(before, before.where("seg_index > 0")).count() == before.where("seg_index = 0").count()
