@@ -65,8 +65,8 @@ def test_payloads(spark, folder):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_every_query_runs(spark, folder, name):
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(COLUMNS)))
+def test_other_queries_run(spark, folder, name):
     found = queries.QUERIES[name](spark, folder[0])
     assert found.count() >= 0 and len(set(found.columns)) == len(found.columns)
 
