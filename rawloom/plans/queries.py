@@ -379,10 +379,10 @@ def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select k, case when n < 1000 then n || ' B' when v < 10 then printf('%.2f', floor(v * 100 + 0.5) / 100) || unit when v < 100 then printf('%.1f', floor(v * 10 + 0.5) / 10) || unit else printf('%.0f', floor(v + 0.5)) || unit end shown
-from (select *, cast(n as double) / pow(1000, e) v, [' B', ' kB', ' MB', ' GB', ' TB'][e + 1] unit from (select *, case when n < 1000 then 0 when n < 1000000 then 1 when n < 1000000000 then 2 when n < 1000000000000 then 3 else 4 end e
+from (select *, cast(n as double) / pow(1000, e) v, [' B', ' kB', ' MB', ' GB', ' TB', ' PB'][e + 1] unit from (select *, case when n < 1000 then 0 when n < 1000000 then 1 when n < 1000000000 then 2 when n < 1000000000000 then 3 when n < 1000000000000000 then 4 else 5 end e
 from (select p_partkey k, cast(p_partkey * 997 % 2000003 as bigint) * [1, 1009, 1000003, 1000000007][p_partkey % 4 + 1] n from part)))""")
 def si_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes from bytes to terabytes."""
+    """Sizes from bytes to petabytes."""
     k = F.col("p_partkey")
     n = k * 997 % 2000003 * F.get(F.array(*[F.lit(x).cast("bigint") for x in (1, 1009, 1000003, 1000000007)]), (k % 4).cast("int"))
     return table(spark, sf_dir, "part").select(k.alias("k"), columns.si_bytes(n).alias("shown"))
