@@ -72,11 +72,13 @@ def kinds_of(found: Words) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """A view of texts: for each token its hash, kind, first word and text; first: of each text (one more at the end)."""
+    """A view of texts: for each token its hash, kind, words (from, to) and text; first: of each text (one more at the
+    end)."""
 
     hashes: np.ndarray
     kinds: np.ndarray
     word: np.ndarray
+    end: np.ndarray
     doc: np.ndarray
     first: np.ndarray
 
@@ -93,7 +95,7 @@ def tokens_of(found: Words, kinds: np.ndarray, view: int) -> Tokens:
         joined[1:] = (slot[1:] == slot[:-1]) & ((slot[1:] == NUMBER) | (slot[1:] == NAME)) & (found.doc[1:] == found.doc[:-1]) & (stops[found.starts[1:] - 1] == stops[found.ends[:-1] - 1])
     word = np.flatnonzero(~joined)
     hashes = np.where(slot > 0, _KIND_HASH[slot], found.hashes)[word]
-    return Tokens(hashes, slot[word], word, found.doc[word], np.searchsorted(word, found.first))
+    return Tokens(hashes, slot[word], word, np.append(word[1:], len(slot)), found.doc[word], np.searchsorted(word, found.first))
 
 
 def template_windows(tokens: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +113,7 @@ def template_windows(tokens: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]
 
 def _slots(found: Words, tokens: Tokens, first: int, size: int) -> list[str]:
     """The values of the slots of a window, in order."""
-    ends = np.append(tokens.word[1:], len(found.hashes))
-    return [" ".join(found.text(j).decode("utf-8", "replace").lower() for j in range(tokens.word[k], ends[k])) for k in range(first, first + size) if tokens.kinds[k]]
+    return [" ".join(found.text(j).decode("utf-8", "replace").lower() for j in range(tokens.word[k], tokens.end[k])) for k in range(first, first + size) if tokens.kinds[k]]
 
 
 def _members(hashes: np.ndarray) -> np.ndarray:
