@@ -145,3 +145,29 @@ def test_toxicity(spark, model):
 def test_threshold():
     p, y = np.array([0.9, 0.8, 0.3, 0.2]), np.array([1.0, 1.0, 0.0, 0.0])
     assert toxicity.threshold(p, y, 5.0) == pytest.approx(0.55)
+
+
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """More rows than one place takes: each counts in the evidence and in the thresholds, of which a sample was taken
+    before, and the mean of the shards tells held-out texts."""
+    for name, value in (("TRAIN_ROWS", 100), ("SHARD_ROWS", 60)):
+        monkeypatch.setattr(toxicity, name, value)
+    counts, weights = [], []
+    evidence, calibrate = toxicity.evidence, toxicity._calibrate
+    monkeypatch.setattr(toxicity, "evidence", lambda both, ones, share: counts.append((both.max(), ones.max())) or evidence(both, ones, share))
+    monkeypatch.setattr(toxicity, "_calibrate", lambda m, p, y, langs, times: weights.append((times.sum(), (times * y).sum())) or calibrate(m, p, y, langs, times))
+    rng, rows, labels = random.Random(9), [], []
+    for k in range(600):
+        toxic = int(k % 5 == 0)
+        words = (data.prose(rng, rng.randint(20, 60)) + " everywhere" + " vileword" * toxic).split()
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), "en", "s", 0))
+        labels.append((k, toxic))
+    docs, learn = data.frame(spark, rows), learning.remainder("doc_id", 4) != 2
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), learn)
+    learnt = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 4 != 2]
+    ones = sum(k % 5 == 0 for k in learnt)
+    assert [sum(x) for x in zip(*counts)] == [len(learnt), ones] and weights == [(len(learnt), ones)]
+    scores = {r["id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held = [k for k, _ in labels if k not in set(learnt)]
+    assert sum((scores[k] >= toxicity.DECISION) == (k % 5 == 0) for k in held) >= 0.97 * len(held)
